@@ -11,8 +11,8 @@ from wayfare.llm.common import cut
 
 def dedup_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Common lines go, but in the last document that holds them; a document that loses all its lines goes too."""
-    out = line_dedup.drop_common_lines(docs)
-    out = out.where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
+    out = line_dedup.drop_common_lines(docs, names_of_counts=("_lines_before", "_lines_dropped"))
+    out = out.where((F.col("_lines_dropped") == 0) | (F.trim("text") != ""))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

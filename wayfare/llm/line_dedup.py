@@ -162,17 +162,18 @@ def _rebuild(text: str | None, gone: set, min_chars: int) -> tuple[str, int, int
     return "\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def drop_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_keys: int = BROADCAST_KEYS, counts: DataFrame | None = None) -> DataFrame:
-    """docs with `text` cut down, and n_lines and n_dropped added at the end.
+def drop_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_keys: int = BROADCAST_KEYS, counts: DataFrame | None = None, names_of_counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with `text` cut down, and two counts added at the end; columns of docs that bear their names are replaced.
 
     Common keys up to broadcast_keys go to the workers as cuckoo filters with the exact table behind them, and the documents
     are rewritten in place without a shuffle. Beyond that bound the keys are joined, which spills and splits skewed keys.
     """
     common = cut((counts if counts is not None else line_counts(docs, min_chars)).where((F.col("n_docs") >= min_docs) & F.col("last_doc").isNotNull()).select("hi", "lo", "last_doc"), "lines")
+    docs = docs.drop(*names_of_counts)
     names, fields = docs.columns, [*docs.schema.fields]
 
 
-    out = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    out = T.StructType([*fields, *(T.StructField(n, T.LongType()) for n in names_of_counts)])
     at_text, at_id = names.index("text"), names.index("doc_id")
     if common.count() <= broadcast_keys:
         rows = common.toPandas().sort_values("hi")
@@ -203,7 +204,7 @@ def drop_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
                 kept = [[line for j, line in enumerate(lines) if j not in gone[k]] if k in gone else lines for k, lines in enumerate(split)]
                 columns = [pa.array(["\n".join(x) for x in kept], batch.column(at_text).type) if k == at_text else c for k, c in enumerate(batch.columns)]
                 counts = [pa.array([len(x) for x in split], pa.int64()), pa.array([len(x) - len(y) for x, y in zip(split, kept, strict=True)], pa.int64())]
-                yield pa.record_batch([*columns, *counts], [*names, "n_lines", "n_dropped"])
+                yield pa.record_batch([*columns, *counts], [*names, *names_of_counts])
 
         return docs.mapInArrow(in_place, out)
 
@@ -216,7 +217,7 @@ def drop_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
             lists = batch.column(len(names)).to_pylist()
             made = [_rebuild(t.as_py(), {(x["hi"], x["lo"]) for x in own or ()}, min_chars) for t, own in zip(batch.column(at_text), lists, strict=True)]
             columns = [pa.array([m[0] for m in made], batch.column(at_text).type) if k == at_text else c for k, c in enumerate(batch.columns[: len(names)])]
-            yield pa.record_batch([*columns, pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64())], [*names, "n_lines", "n_dropped"])
+            yield pa.record_batch([*columns, pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64())], [*names, *names_of_counts])
 
     return joined.mapInArrow(joined_in, out)
 

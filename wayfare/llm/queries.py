@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup
+from . import decontaminate, line_dedup, near_dedup, quality
 
 QUERIES = {
     "op1_spaced_seed_decontamination": decontaminate.op1_spaced_seed_decontamination,
+    "op2_host_quality_rules": quality.op2_host_quality_rules,
+    "op4_hyperminhash_near_dedup": near_dedup.op4_hyperminhash_near_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
 }
-ORACLES = {"op7_line_dedup": line_dedup.OP7_SQL}
+ORACLES = {"op2_host_quality_rules": quality.OP2_SQL, "op7_line_dedup": line_dedup.OP7_SQL}
