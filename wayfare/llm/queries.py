@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, near_dedup, quality
+from . import bpe, decontaminate, language, line_dedup, near_dedup, quality, token_files
 
 QUERIES = {
     "op1_spaced_seed_decontamination": decontaminate.op1_spaced_seed_decontamination,
     "op2_host_quality_rules": quality.op2_host_quality_rules,
     "op4_hyperminhash_near_dedup": near_dedup.op4_hyperminhash_near_dedup,
+    "op5_frequency_ranked_token_files": token_files.op5_frequency_ranked_token_files,
+    "op6_hyperdimensional_language_id": language.op6_hyperdimensional_language_id,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_higher_order_bpe": bpe.op8_higher_order_bpe,
 }
 ORACLES = {"op2_host_quality_rules": quality.OP2_SQL, "op7_line_dedup": line_dedup.OP7_SQL}
