@@ -251,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SA
     total, rate = max(seen.count(), 1), n[1] / (n[0] + n[1])
     p = F.least(F.col("t") / F.col("n"), F.lit(1 - 1e-9))
     gain = F.col("n") * (p * F.log(p / rate) + (1 - p) * F.log((1 - p) / (1 - rate)))
-    best = seen.where((F.col("t") > 0) & (p > 0.5) & (p > rate)).withColumn("gain", F.round(gain, 6)).where(F.col("gain") > math.log(100 * total)).orderBy(F.desc("gain"), "word").limit(TERMS)
+    best = seen.where((F.col("t") > 0) & (p > 0.5) & (p > rate)).withColumn("gain", F.round(gain, 6)).where(F.col("gain") > math.log(3 * total)).orderBy(F.desc("gain"), "word").limit(TERMS)
     terms = tuple(sorted(r["word"] for r in best.collect()))
     if not terms:
         return Model()
