@@ -1,4 +1,6 @@
 """Queries of the engine, by name, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import urls  # noqa: F401
+from .plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
