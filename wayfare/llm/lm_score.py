@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import chunks, crc_mod, cut, mix, words
 
-CONTAINER, SHARD_BITS = 16 << 20, 6
+CONTAINER = 8 << 20
+#: Shards are 2 to the power of these many bits: about as many as there are containers, so that a shard's arrays stay small.
+LEAST_BITS, MOST_BITS = 6, 14
 FILTER_BYTES, BITS, PROBES = 32 << 20, 9, 4
 BASE, MAX_LEVEL, MU = 1.7, 24, 60.0
 END = np.uint64(0xE0D0C0B0A0908071)
@@ -95,38 +97,42 @@ def _pairs(before: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return mix((before ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F) + hashes, 5)
 
 
-def _shards(keys: np.ndarray) -> np.ndarray:
+def shard_bits(containers: DataFrame) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1, containers.count()))))))
+
+
+def _shards(keys: np.ndarray, bits: int) -> np.ndarray:
     """Where each shard begins in sorted keys."""
-    return np.searchsorted(keys >> np.uint64(64 - SHARD_BITS), np.arange((1 << SHARD_BITS) + 1, dtype=np.uint64))
+    return np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
 
 
 def _in_training(training: list[bool], offs: np.ndarray) -> np.ndarray:
     return np.repeat(np.array(training, bool), np.diff(offs))
 
 
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """(shard, chunk, keys, counts): a container's distinct words by shard, with their counts in its training documents."""
     for batch in batches:
         for row in batch.to_pylist():
             hashes, offs = _tokens(row["offs"], row["body"])
             keys, places = np.unique(hashes, return_inverse=True)
             counts = np.bincount(places[_in_training(row["training"], offs)], minlength=len(keys)).astype(np.uint32)
-            ends = _shards(keys)
-            own = [s for s in range(1 << SHARD_BITS) if ends[s + 1] > ends[s]]
+            ends = _shards(keys, bits)
+            own = [s for s in range(1 << bits) if ends[s + 1] > ends[s]]
             cuts = [slice(ends[s], ends[s + 1]) for s in own]
             yield pa.record_batch([pa.array(own, pa.int32()), pa.array([row["chunk"]] * len(own), pa.int64()), pa.array([keys[c].tobytes() for c in cuts], pa.binary()), pa.array([counts[c].tobytes() for c in cuts], pa.binary())], ["shard", "chunk", "keys", "counts"])
 
 
-def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pair_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """(shard, keys, counts): a container's distinct word pairs in training documents; a key's five bytes follow its shard's bits."""
     for batch in batches:
         for row in batch.to_pylist():
             hashes, offs = _tokens(row["offs"], row["body"])
             pairs = _pairs(_previous(hashes, offs), hashes)[_in_training(row["training"], offs)]
-            keys, counts = np.unique(pairs >> np.uint64(64 - SHARD_BITS - _PAIR_BITS), return_counts=True)
-            ends = np.searchsorted(keys, np.arange((1 << SHARD_BITS) + 1, dtype=np.uint64) << np.uint64(_PAIR_BITS))
+            keys, counts = np.unique(pairs >> np.uint64(64 - bits - _PAIR_BITS), return_counts=True)
+            ends = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(_PAIR_BITS))
             short = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _PAIR_BITS // 8]
-            own = [s for s in range(1 << SHARD_BITS) if ends[s + 1] > ends[s]]
+            own = [s for s in range(1 << bits) if ends[s + 1] > ends[s]]
             # columns of bytes: the high ones of sorted keys compress well
             yield pa.record_batch(
                 [pa.array(own, pa.int32()), pa.array([short[ends[s] : ends[s + 1]].T.tobytes() for s in own], pa.binary()), pa.array([zstandard.compress(counts[ends[s] : ends[s + 1]].astype(np.uint32).tobytes(), 1) for s in own], pa.binary())],
@@ -173,7 +179,7 @@ def _by_shard(batches: Iterator[pa.RecordBatch], read, done) -> Iterator[pa.Reco
         yield done(shard, total)
 
 
-def vocabulary(containers: DataFrame) -> DataFrame:
+def vocabulary(containers: DataFrame, bits: int) -> DataFrame:
     """(shard, keys, counts, n_tokens, n_words): the exact counts of the training words."""
 
     def read(total, row):
@@ -185,7 +191,7 @@ def vocabulary(containers: DataFrame) -> DataFrame:
         values = [shard, keys.tobytes(), counts.tobytes(), int(counts.sum()), len(keys)]
         return pa.record_batch([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["shard", "keys", "counts", "n_tokens", "n_words"])
 
-    rows = containers.mapInArrow(_word_rows, "shard int, chunk long, keys binary, counts binary").repartition("shard").sortWithinPartitions("shard")
+    rows = containers.mapInArrow(lambda batches: _word_rows(batches, bits), "shard int, chunk long, keys binary, counts binary").repartition("shard").sortWithinPartitions("shard")
     return rows.mapInArrow(lambda batches: _by_shard(batches, read, done), "shard int, keys binary, counts binary, n_tokens long, n_words long")
 
 
@@ -196,9 +202,9 @@ def levels(counts: np.ndarray) -> np.ndarray:
 class Filter:
     """A log-frequency Bloom filter: one block of bits for each shard."""
 
-    def __init__(self, blocks: dict[int, bytes]):
-        self.bits = 8 * FILTER_BYTES >> SHARD_BITS
-        self.data = np.zeros((1 << SHARD_BITS, self.bits // 8), np.uint8)
+    def __init__(self, blocks: dict[int, bytes], bits: int):
+        self.shard_bits, self.bits = bits, 8 * FILTER_BYTES >> bits
+        self.data = np.zeros((1 << bits, self.bits // 8), np.uint8)
         for s, b in blocks.items():
             self.data[s] = np.frombuffer(b, np.uint8)
 
@@ -208,9 +214,9 @@ class Filter:
         return ((h & np.uint64(0xFFFFFFFF)) + np.uint64(probe) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64(bits - 1)
 
     @classmethod
-    def block(cls, keys: np.ndarray, counts: np.ndarray) -> bytes:
+    def block(cls, keys: np.ndarray, counts: np.ndarray, shard_bits: int) -> bytes:
         """A shard's block; rare pairs are left out only as far as the block's size asks for it."""
-        bits = 8 * FILTER_BYTES >> SHARD_BITS
+        bits = 8 * FILTER_BYTES >> shard_bits
         level = levels(counts)
         least = 1
         while level[counts >= least].sum() * BITS > bits:
@@ -224,7 +230,7 @@ class Filter:
 
     def count(self, pairs: np.ndarray) -> np.ndarray:
         """The least count of each pair's level, 0 for absent ones, by repeated probes."""
-        keys = pairs >> np.uint64(64 - SHARD_BITS - _PAIR_BITS)
+        keys = pairs >> np.uint64(64 - self.shard_bits - _PAIR_BITS)
         shard, keys = (keys >> np.uint64(_PAIR_BITS)).astype(np.int64), keys & np.uint64((1 << _PAIR_BITS) - 1)
         level = np.zeros(len(pairs), np.int64)
         live = np.arange(len(pairs))
@@ -238,7 +244,7 @@ class Filter:
         return np.where(level > 0, np.ceil(BASE ** (np.maximum(level, 1) - 1) - 1e-9), 0)
 
 
-def build_filter(containers: DataFrame) -> Filter:
+def build_filter(containers: DataFrame, bits: int) -> Filter:
     """Counts of all pairs of the training documents, summed by shard; each shard sends its block, FILTER_BYTES in all."""
 
     def read(total, row):
@@ -248,15 +254,15 @@ def build_filter(containers: DataFrame) -> Filter:
         total.add(keys.view("<u8").ravel(), np.frombuffer(zstandard.decompress(row["counts"]), np.uint32))
 
     def done(shard, total):
-        return pa.record_batch([pa.array([shard], pa.int32()), pa.array([Filter.block(*total.total())], pa.binary())], ["shard", "block"])
+        return pa.record_batch([pa.array([shard], pa.int32()), pa.array([Filter.block(*total.total(), bits)], pa.binary())], ["shard", "block"])
 
-    rows = containers.mapInArrow(_pair_rows, "shard int, keys binary, counts binary").repartition("shard").sortWithinPartitions("shard")
-    return Filter({r[0]: bytes(r[1]) for r in rows.mapInArrow(lambda batches: _by_shard(batches, read, done), "shard int, block binary").collect()})
+    rows = containers.mapInArrow(lambda batches: _pair_rows(batches, bits), "shard int, keys binary, counts binary").repartition("shard").sortWithinPartitions("shard")
+    return Filter({r[0]: bytes(r[1]) for r in rows.mapInArrow(lambda batches: _by_shard(batches, read, done), "shard int, block binary").collect()}, bits)
 
 
-def _answers(containers: DataFrame, vocab: DataFrame) -> DataFrame:
+def _answers(containers: DataFrame, vocab: DataFrame, bits: int) -> DataFrame:
     """(chunk, shard, counts): for each container and shard, the counts of its words, in the order of their hashes."""
-    asked = containers.mapInArrow(_word_rows, "shard int, chunk long, keys binary, counts binary").select("shard", "chunk", "keys", F.lit(None).cast("binary").alias("counts"))
+    asked = containers.mapInArrow(lambda batches: _word_rows(batches, bits), "shard int, chunk long, keys binary, counts binary").select("shard", "chunk", "keys", F.lit(None).cast("binary").alias("counts"))
     known = vocab.select("shard", F.lit(-1).cast("long").alias("chunk"), "keys", "counts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,12 +287,13 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     """doc_id, training, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
     spark = docs.sparkSession
     containers = cut(pack(docs, training), "containers")
-    vocab = cut(vocabulary(containers), "vocabulary")
+    bits = shard_bits(containers)
+    vocab = cut(vocabulary(containers, bits), "vocabulary")
     n, v = vocab.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    shared = spark.sparkContext.broadcast(build_filter(containers))
+    shared = spark.sparkContext.broadcast(build_filter(containers, bits))
     none = F.lit(None)
-    told = _answers(containers, vocab).select("chunk", "shard", "counts", none.cast("array<long>").alias("doc_ids"), none.cast("array<boolean>").alias("training"), none.cast("binary").alias("offs"), none.cast("binary").alias("body"))
-    whole = containers.select("chunk", F.lit(1 << SHARD_BITS).alias("shard"), none.cast("binary").alias("counts"), "doc_ids", "training", "offs", "body")
+    told = _answers(containers, vocab, bits).select("chunk", "shard", "counts", none.cast("array<long>").alias("doc_ids"), none.cast("array<boolean>").alias("training"), none.cast("binary").alias("offs"), none.cast("binary").alias("body"))
+    whole = containers.select("chunk", F.lit(1 << bits).alias("shard"), none.cast("binary").alias("counts"), "doc_ids", "training", "offs", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = shared.value

@@ -7,12 +7,15 @@ first filled bucket in a fixed random order of the bucket's own, so that the ord
 
 1. Equal sets are one class (size and a 128-bit digest); from here on one representative stands for its class.
 2. BANDS bands of ROWS registers give buckets. Documents of 80 % similarity share none with probability 3e-7.
-3. Within a bucket, each document is compared with two leaders (the least id, and the least id in a scrambled order).
+3. Within a bucket, each document is compared with two leaders (the least id, and the least id in a scrambled order). Buckets
+   in which two components of these links meet are gone through once more, with leaders in other orders.
 4. A pair is estimated from the registers, corrected for chance collisions of registers, and dropped only if the estimate
    lies five standard errors below the threshold; the rest is confirmed on the full sets.
-5. Components of the links so far are found. Only in buckets that still hold two components are all pairs across
-   components compared, in the same way. So no link that could join two components is lost, and a group of n near copies
-   costs about 2n comparisons instead of n squared.
+5. Components of the links so far are found. Documents of buckets that still hold two components are compared across
+   components: two similar sets share one of the first n - ceil(0.8 n) + 1 shingles of each in any fixed order, and in the
+   order of rising frequency among these documents (a table of COUNTERS counters, whose collisions only change the order)
+   those are rare; shingles that no other document has are left out, and the places of a shared one bound the overlap. The pairs are confirmed in the same way. So no link
+   that could join two components is lost, and a group of n near copies costs about 2n comparisons, not n squared.
 
 Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case. Defined results: documents without words have an empty set and are
 linked with nothing; rows that share a doc_id are one document; rows with a null doc_id are linked with nothing and kept
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +36,9 @@ from .common import chunks, cut, doc_numbers, grams, mix, words
 from .components import components
 
 REGISTERS, MANTISSA, BANDS, ROWS = 512, 10, 64, 7
+#: Orders of the leaders, by round; 0 is that of the ids themselves.
+LEADERS = ((0, 1), (2, 3, 4))
+COUNTERS, COUNTER_BLOCKS = 1 << 22, 64
 EMPTY = 0xFFFF
 _ORDER = np.argsort(np.random.Generator(np.random.PCG64(7)).random((REGISTERS, REGISTERS)), axis=1)
 _RANK = np.argsort(_ORDER, axis=1).astype(np.uint16)
@@ -132,8 +139,21 @@ def _sketch(shingle: int):
     return run
 
 
-def _confirm(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, shingle: int, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar: estimated from the registers first, then confirmed."""
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, name: str) -> DataFrame:
+    """(id, set): the full set of each wanted id, as a binary of its 64-bit values."""
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, data, offs in chunks(batch.column(1)):
+                values, ends = shingle_sets(data, offs, shingle)
+                yield pa.record_batch([batch.column(0).slice(at, to - at), pa.array([values[ends[k] : ends[k + 1]].tobytes() for k in range(to - at)], pa.binary())], ["id", "set"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    return cut(rows.mapInArrow(full, "id long, set binary"), name)
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) whose registers do not rule out that their sets are similar."""
     for side in "ab":
         pairs = pairs.join(sketches.select(F.col("id").alias(side), F.col("regs").alias(f"r{side}"), F.col("n_shingles").alias(f"n{side}")), side)
     low = percent / 100
@@ -148,19 +168,13 @@ def _confirm(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, shingle: in
                 possible = 100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)
                 yield batch.select([0, 1]).filter(pa.array(possible & (guess >= low - 5 * error)))
 
-    likely = cut(pairs.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(near, "a long, b long"), f"{name}-likely")
-    wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
+    return cut(pairs.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(near, "a long, b long"), name)
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, to, data, offs in chunks(batch.column(1)):
-                values, ends = shingle_sets(data, offs, shingle)
-                yield pa.record_batch([batch.column(0).slice(at, to - at), pa.array([values[ends[k] : ends[k + 1]].tobytes() for k in range(to - at)], pa.binary())], ["id", "set"])
 
-    sets = cut(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(full, "id long, set binary"), f"{name}-sets")
-    both = likely
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar."""
     for side in "ab":
-        both = both.join(sets.select(F.col("id").alias(side), F.col("set").alias(f"s{side}")), side)
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("set").alias(f"s{side}")), side)
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +186,61 @@ def _confirm(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, shingle: in
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(same, "a long, b long")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(same, "a long, b long")
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """In how many sets a shingle is found, at least, by its lowest bits; up to 255. The table has COUNTERS bytes whatever the input."""
+    size = COUNTERS // COUNTER_BLOCKS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(COUNTERS, np.int32)
+        for batch in batches:
+            values = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+            table += np.bincount((values & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
+        if table.any():
+            parts = np.minimum(table, 255).astype(np.uint8).reshape(COUNTER_BLOCKS, size)
+            yield pa.record_batch([pa.array(np.arange(COUNTER_BLOCKS, dtype=np.int32)), pa.array([zstandard.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(zstandard.decompress(counts), np.uint8)
+                sums[block] = np.minimum(sums.get(block, 0) + own.astype(np.uint16), 255)
+        for block, total in sums.items():
+            yield pa.record_batch([pa.array([block], pa.int32()), pa.array([total.astype(np.uint8).tobytes()], pa.binary())], ["block", "counts"])
+
+    out = np.zeros((COUNTER_BLOCKS, size), np.uint8)
+    for block, counts in sets.select("set").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary").collect():
+        out[block] = np.frombuffer(counts, np.uint8)
+    return out.ravel()
+
+
+def _prefix_pairs(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of ids of different components that share a shingle of their prefixes."""
+    shared = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes, places, found = [], [], [], []
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = np.frombuffer(v.as_buffer(), np.uint64)
+                n = len(values)
+                often = shared.value[(values & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                first = np.lexsort((values, often))[: n - -(-percent * n // 100) + 1]
+                at = np.flatnonzero(often[first] > 1)
+                ids += [i] * len(at)
+                sizes += [n] * len(at)
+                places += at.tolist()
+                found.append(values[first[at]])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(places, pa.int64()), pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))], ["id", "n", "place", "key"])
+
+    rows = sets.mapInArrow(prefixes, "id long, n long, place long, key long").join(placed, "id")
+    x, y = (rows.select("key", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("place").alias(f"p{c}"), F.col("component").alias(f"c{c}")) for c in "ab")
+    # nothing before the first shared shingle is shared, so the places bound the overlap
+    possible = f"{100 + percent} * least(na - pa, nb - pb) >= {percent} * (na + nb)"
+    return x.join(y, "key").where(f"a < b AND ca <> cb AND {possible}").select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -183,20 +251,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = cut(full.groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("class_id")), "classes")
     reps = classes.select(F.col("class_id").alias("id"))
     rows = full.select("id", "bands").join(reps, "id", "left_semi").select("id", F.explode("bands").alias("band"))
-    scrambled = F.xxhash64("id")
-    leaders = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("l1"), F.min(F.struct(scrambled.alias("h"), "id")).alias("l2")).where("n > 1").select("band", "l1", F.col("l2.id").alias("l2"))
-    shared = cut(rows.join(leaders, "band"), "buckets")
-    ordered = [F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")]
-    star = cut(shared.select("id", F.explode(F.array("l1", "l2")).alias("lead")).where("id <> lead").select(*ordered).distinct(), "star")
-    links = cut(_confirm(star, sk, own, shingle, percent, "star"), "links")
-    first = components(links)
-    # what is left: buckets in which two components meet
-    placed = shared.select("band", "id").join(first, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    placed = rows.withColumn("component", F.col("id"))
+    tested = links = None
+    for k, seeds in enumerate(LEADERS):
+        lead = [F.min(F.struct((F.xxhash64("id", F.lit(seed)) if seed else F.col("id")).alias("h"), "id", "component")).alias(f"l{seed}") for seed in seeds]
+        leaders = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *lead).where("lo < hi").drop("lo", "hi")
+        placed = cut(placed.join(leaders, "band"), f"buckets-{k}")
+        pairs = placed.select("id", "component", F.explode(F.array(*(f"l{seed}" for seed in seeds))).alias("lead")).where("component <> lead.component")
+        pairs = pairs.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs, f"pairs-{k}")
+        tested = tested.unionByName(pairs) if tested else pairs
+        likely = _likely(pairs, sk, percent, f"likely-{k}")
+        sets = _sets(own, likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), shingle, f"sets-{k}")
+        more = cut(_confirmed(likely, sets, percent), f"links-{k}")
+        links = links.unionByName(more) if links else more
+        found = components(links)
+        placed = placed.select("band", "id").join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    # what is left: documents of buckets in which two components meet
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    left = cut(placed.join(mixed, "band", "left_semi"), "mixed")
-    x, y = left.select("band", F.col("id").alias("a"), F.col("component").alias("ca")), left.select("band", F.col("id").alias("b"), F.col("component").alias("cb"))
-    across = x.join(y, "band").where("a < b AND ca <> cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = _confirm(cut(across, "across"), sk, own, shingle, percent, "across")
+    left = cut(placed.join(mixed, "band", "left_semi").select("id", "component").distinct(), "mixed")
+    sets = _sets(own, left.select("id"), shingle, "mixed-sets")
+    across = _prefix_pairs(sets, left, percent).join(tested, ["a", "b"], "left_anti")
+    more = _confirmed(_likely(cut(across, "across"), sk, percent, "across-likely"), sets, percent)
     found = components(links.unionByName(more))
     member = full.select("id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"]).select("id", "n_shingles", "class_id")
     member = member.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
