@@ -193,7 +193,7 @@ def denylist_scan(spark, sf_dir):
     return _found(spark, sf_dir).select("doc_id", "rule", F.md5(F.col("hit").cast("binary")).alias("hit"))
 
 
-@query("denylist_rollup", f"WITH {_DENY} SELECT coalesce(rule, 'TOTAL') AS rule, count(*) AS n, count(DISTINCT doc_id) AS docs FROM kept GROUP BY ROLLUP (rule)")
+@query("denylist_rollup", f"WITH {_DENY} SELECT coalesce(rule, 'TOTAL') AS rule, count(*) AS n, count(DISTINCT doc_id) AS docs FROM kept GROUP BY ROLLUP (rule) HAVING count(*) > 0")
 def denylist_rollup(spark, sf_dir):
     return _found(spark, sf_dir).rollup("rule").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs")).select(F.coalesce("rule", F.lit("TOTAL")).alias("rule"), "n", "docs")
 
