@@ -24,3 +24,15 @@ def components(links: DataFrame) -> DataFrame:
         labels = now.select("id", "component")
         if not now.where("old <> component").limit(1).count():
             return labels
+
+
+def joined_components(found: DataFrame, more: DataFrame) -> DataFrame:
+    """The components after further links (a, b): only components that these join are looked at."""
+    name = {side: found.select(F.col("id").alias(side), F.col("component").alias(f"c{side}")) for side in "ab"}
+    placed = more.join(name["a"], "a", "left").join(name["b"], "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    placed = cut(placed, "links-placed")
+    merged = components(placed.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    fresh = placed.select(F.col("a").alias("id")).union(placed.select("b")).distinct().join(found, "id", "left_anti")
+    every = found.unionByName(fresh.withColumn("component", F.col("id")))
+    now = merged.select(F.col("id").alias("component"), F.col("component").alias("_low"))
+    return cut(every.join(now, "component", "left").select("id", F.coalesce("_low", "component").alias("component")), "labels")

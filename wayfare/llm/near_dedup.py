@@ -7,8 +7,7 @@ first filled bucket in a fixed random order of the bucket's own, so that the ord
 
 1. Equal sets are one class (size and a 128-bit digest); from here on one representative stands for its class.
 2. BANDS bands of ROWS registers give buckets. Documents of 80 % similarity share none with probability 3e-7.
-3. Within a bucket, each document is compared with two leaders (the least id, and the least id in a scrambled order). Buckets
-   in which two components of these links meet are gone through once more, with leaders in other orders.
+3. Within a bucket, each document is compared with two leaders (the least id, and the least id in a scrambled order).
 4. A pair is estimated from the registers, corrected for chance collisions of registers, and dropped only if the estimate
    lies five standard errors below the threshold; the rest is confirmed on the full sets.
 5. Components of the links so far are found. Documents of buckets that still hold two components are compared across
@@ -33,11 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, doc_numbers, grams, mix, words
-from .components import components
+from .components import components, joined_components
 
 REGISTERS, MANTISSA, BANDS, ROWS = 512, 10, 64, 7
-#: Orders of the leaders, by round; 0 is that of the ids themselves.
-LEADERS = ((0, 1), (2, 3, 4))
 COUNTERS, COUNTER_BLOCKS = 1 << 22, 64
 EMPTY = 0xFFFF
 _ORDER = np.argsort(np.random.Generator(np.random.PCG64(7)).random((REGISTERS, REGISTERS)), axis=1)
@@ -251,29 +248,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = cut(full.groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("class_id")), "classes")
     reps = classes.select(F.col("class_id").alias("id"))
     rows = full.select("id", "bands").join(reps, "id", "left_semi").select("id", F.explode("bands").alias("band"))
-    placed = rows.withColumn("component", F.col("id"))
-    tested = links = None
-    for k, seeds in enumerate(LEADERS):
-        lead = [F.min(F.struct((F.xxhash64("id", F.lit(seed)) if seed else F.col("id")).alias("h"), "id", "component")).alias(f"l{seed}") for seed in seeds]
-        leaders = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *lead).where("lo < hi").drop("lo", "hi")
-        placed = cut(placed.join(leaders, "band"), f"buckets-{k}")
-        pairs = placed.select("id", "component", F.explode(F.array(*(f"l{seed}" for seed in seeds))).alias("lead")).where("component <> lead.component")
-        pairs = pairs.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs, f"pairs-{k}")
-        tested = tested.unionByName(pairs) if tested else pairs
-        likely = _likely(pairs, sk, percent, f"likely-{k}")
-        sets = _sets(own, likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), shingle, f"sets-{k}")
-        more = cut(_confirmed(likely, sets, percent), f"links-{k}")
-        links = links.unionByName(more) if links else more
-        found = components(links)
-        placed = placed.select("band", "id").join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    leaders = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("l1"), F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("l2")).where("n > 1").drop("n")
+    shared = cut(rows.join(leaders, "band"), "buckets")
+    pairs = shared.select("id", F.explode(F.array("l1", "l2")).alias("lead")).where("id <> lead")
+    pairs = cut(pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), "pairs")
+    # from here on, only documents that share a bucket are read
+    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "candidates")
+    near_sk = cut(sk.select("id", "n_shingles", "regs").join(ids, "id", "left_semi"), "near-sketches")
+    near = cut(own.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), "near-texts")
+    likely = _likely(pairs, near_sk, percent, "likely")
+    sets = _sets(near, likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), shingle, "sets")
+    found = components(cut(_confirmed(likely, sets, percent), "links"))
+    placed = shared.select("band", "id").join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     # what is left: documents of buckets in which two components meet
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
     left = cut(placed.join(mixed, "band", "left_semi").select("id", "component").distinct(), "mixed")
-    sets = _sets(own, left.select("id"), shingle, "mixed-sets")
-    across = _prefix_pairs(sets, left, percent).join(tested, ["a", "b"], "left_anti")
-    more = _confirmed(_likely(cut(across, "across"), sk, percent, "across-likely"), sets, percent)
-    found = components(links.unionByName(more))
+    sets = _sets(near, left.select("id"), shingle, "mixed-sets")
+    across = _prefix_pairs(sets, left, percent).join(pairs, ["a", "b"], "left_anti")
+    more = _confirmed(_likely(cut(across, "across"), near_sk, percent, "across-likely"), sets, percent)
+    found = joined_components(found, cut(more, "links-across"))
     member = full.select("id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"]).select("id", "n_shingles", "class_id")
     member = member.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     rest = sk.where("n_shingles = 0 OR id IS NULL").select("id", "n_shingles", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
