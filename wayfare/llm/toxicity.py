@@ -159,8 +159,8 @@ def _automaton(terms: tuple[str, ...]) -> Automaton:
     return Automaton([*terms])
 
 
-def find_hits(column: pa.Array, terms: tuple[str, ...]) -> Iterator[tuple[int, int, list[tuple]]]:
-    """(row, words, [(term, edits, context buckets, quoted)]) for every row of a column of texts."""
+def find_hits(column: pa.Array, terms: tuple[str, ...], useful: np.ndarray | None = None) -> Iterator[tuple[int, int, list[tuple]]]:
+    """(row, words, [(term, edits, context buckets, quoted)]) for every row of a column of texts; only hits of `useful` terms and edits, if given."""
     low, inner, white = _points()
     automaton = _automaton(terms)
     for at, to, data, offs in chunks(column):
@@ -177,6 +177,9 @@ def find_hits(column: pa.Array, terms: tuple[str, ...]) -> Iterator[tuple[int, i
         e = np.where(full, marks[np.maximum(b - 1, 0)] + 1 if len(marks) else starts, starts)
         lowered = low[points]
         words, term, cost = automaton.run(lowered, s, e)
+        if useful is not None:
+            own = useful[term, np.minimum(cost, 2)]
+            words, term, cost = words[own], term[own], cost[own]
         cuts = np.searchsorted(words, word_offs)
         for d in range(to - at):
             found = []
@@ -199,6 +202,8 @@ class Model:
 
     def __init__(self, terms=(), weights=None, context=None, coefficients=None):
         self.terms, self.weights, self.context, self.coefficients = terms, weights, context, coefficients
+        # what is no likelier in toxic documents says nothing about a document
+        self.useful = None if weights is None else weights > 0
 
     def features(self, n_words: int, hits: list[tuple]) -> list[float]:
         if not hits:
@@ -283,7 +288,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SA
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [model.features(words, found) for _, words, found in find_hits(batch.column(1), model.terms)]
+            made = [model.features(words, found) for _, words, found in find_hits(batch.column(1), model.terms, model.useful)]
             yield pa.record_batch([batch.column(0), pa.array(made, pa.list_(pa.float64()))], ["toxic", "x"])
 
     got = texts.mapInArrow(features, "toxic int, x array<double>").collect()
@@ -300,7 +305,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            got = [(model.score(words, found), len(found)) for _, words, found in find_hits(batch.column(1), model.terms)] if model.terms else [(0.0, 0)] * batch.num_rows
+            got = [(model.score(words, found), len(found)) for _, words, found in find_hits(batch.column(1), model.terms, model.useful)] if model.terms else [(0.0, 0)] * batch.num_rows
             yield pa.record_batch([batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64())], ["doc_id", "score", "n_hits"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, n_hits long")
