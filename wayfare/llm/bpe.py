@@ -218,7 +218,8 @@ def encode_and_decode(docs: DataFrame, rank_file: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers, binary) and decoded (binary) of each row of docs."""
     table = rank_map(load_ranks(rank_file))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_split, "ids array<long>, offs binary, numbers binary, base long, words array<binary>, long array<binary>")
-    folded = F.transform("words", lambda w: F.when(w.isNotNull(), fold(w, table)))
+    # bound once, so that plans and workers hold one copy of the map
+    folded = F.get(F.transform(F.array(table), lambda t: F.transform("words", lambda w: F.when(w.isNotNull(), fold(w, t)))), F.lit(0))
     return rows.select("ids", "offs", "numbers", "base", folded.alias("words"), "long").mapInArrow(_assemble(rank_file), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
