@@ -223,6 +223,30 @@ def test_filter():
     assert (sieve.count(absent) > 0).mean() < 0.05
 
 
+def test_filter_holds_every_pair():
+    keys = np.unique(np.random.default_rng(2).integers(0, 1 << 40, 30000).astype(np.uint64))
+    sieve = lm_score.Filter({5: lm_score.Filter.block(keys, np.ones(len(keys), np.uint64), 14)}, 14)
+    assert (sieve.count((np.uint64(5) << np.uint64(50)) | (keys << np.uint64(10))) >= 1).all()
+
+
+def test_language_model_pairs(spark):
+    rows = documents(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in lm_score.score(df, crc_mod(F.col("doc_id"), 7) != 2).collect()}
+    tokens = [(i, [*lower(t).split(), "\n"]) for i, t in rows]
+    training = [ws for i, ws in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for ws in training for w in ws)
+    pairs = Counter(p for ws in training for p in zip(["\n", *ws], ws))
+    n, v, mu = sum(counts.values()), len(counts), lm_score.MU
+
+    def model(a, b):
+        c = pairs[a, b] and lm_score.BASE ** math.floor(math.log(pairs[a, b], lm_score.BASE) + 1e-9)
+        return (min(math.ceil(c - 1e-9), counts[a], counts[b]) + mu * (counts[b] + 1) / (n + v + 1)) / (counts[a] + mu)
+
+    wanted = {i: sum(math.log10(model(a, b)) for a, b in zip(["\n", *ws], ws)) for i, ws in tokens}
+    assert got == pytest.approx(wanted, abs=1e-6)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -5,11 +5,12 @@ top bits of their hashes, to shards that add up the exact counts of the training
 row is an array, so the shuffle moves 8 bytes for a word of a container instead of a row for each word of a document, and a
 word that stands in every document is one entry of each container.
 
-Word pairs are counted in the same way, and each shard writes its block of the filter: a pair with count c goes in at the
+Word pairs are counted in the same way, and each shard makes its block of the filter: a pair with count c goes in at the
 levels 1 to 1 + floor(log_BASE(c)). A look-up probes the levels in turn until one is absent, which gives the quantised
-count (never under the true level; at most the counts of the two words, which are exact). FILTER_BYTES bounds the filter
-whatever the input: a shard takes the pairs from the least count on for which its block holds BITS bits for each entry. The
-blocks are broadcast. The model: P(w | v) = (c(v, w) + MU P(w)) / (c(v) + MU), with P(w) = (c(w) + 1) / (N + V + 1).
+count (never under the true level; at most the counts of the two words, which are exact). The blocks have FILTER_BYTES in all
+at first and grow to at least BITS bits for each entry, so that every pair goes in at every size of the input; a block stays
+in its shard's task, which answers the containers. The model: P(w | v) = (c(v, w) + MU P(w)) / (c(v) + MU), with
+P(w) = (c(w) + 1) / (N + V + 1).
 
 Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case, then one end; the first word follows an end. Words and pairs are
 told apart by 64-bit and 46-bit hashes. Defined results: null and empty texts are an end alone; repeated rows give a
@@ -33,6 +34,8 @@ CONTAINER = 8 << 20
 #: Shards are 2 to the power of these many bits: about as many as there are containers, so that a shard's arrays stay small.
 LEAST_BITS, MOST_BITS = 6, 14
 FILTER_BYTES, BITS, PROBES = 32 << 20, 9, 4
+#: Pairs that a shard looks up at a time.
+LOOK = 1 << 20
 BASE, MAX_LEVEL, MU = 1.7, 24, 60.0
 END = np.uint64(0xE0D0C0B0A0908071)
 _PAIR_BITS = 40
@@ -124,19 +127,20 @@ def _word_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Reco
 
 
 def _pair_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """(shard, keys, counts): a container's distinct word pairs in training documents; a key's five bytes follow its shard's bits."""
+    """(shard, chunk, keys, counts): a container's distinct word pairs, with their counts in its training documents; a key's five bytes follow its shard's bits."""
     for batch in batches:
         for row in batch.to_pylist():
             hashes, offs = _tokens(row["offs"], row["body"])
-            pairs = _pairs(_previous(hashes, offs), hashes)[_in_training(row["training"], offs)]
-            keys, counts = np.unique(pairs >> np.uint64(64 - bits - _PAIR_BITS), return_counts=True)
+            pairs = _pairs(_previous(hashes, offs), hashes)
+            keys, places = np.unique(pairs >> np.uint64(64 - bits - _PAIR_BITS), return_inverse=True)
+            counts = np.bincount(places[_in_training(row["training"], offs)], minlength=len(keys))
             ends = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(_PAIR_BITS))
             short = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _PAIR_BITS // 8]
             own = [s for s in range(1 << bits) if ends[s + 1] > ends[s]]
             # columns of bytes: the high ones of sorted keys compress well
             yield pa.record_batch(
-                [pa.array(own, pa.int32()), pa.array([short[ends[s] : ends[s + 1]].T.tobytes() for s in own], pa.binary()), pa.array([zstandard.compress(counts[ends[s] : ends[s + 1]].astype(np.uint32).tobytes(), 1) for s in own], pa.binary())],
-                ["shard", "keys", "counts"],
+                [pa.array(own, pa.int32()), pa.array([row["chunk"]] * len(own), pa.int64()), pa.array([short[ends[s] : ends[s + 1]].T.tobytes() for s in own], pa.binary()), pa.array([zstandard.compress(counts[ends[s] : ends[s + 1]].astype(np.uint32).tobytes(), 1) for s in own], pa.binary())],
+                ["shard", "chunk", "keys", "counts"],
             )
 
 
@@ -200,13 +204,10 @@ def levels(counts: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """A log-frequency Bloom filter: one block of bits for each shard."""
+    """A log-frequency Bloom filter: one block of bits for each shard, which grows with its entries."""
 
     def __init__(self, blocks: dict[int, bytes], bits: int):
-        self.shard_bits, self.bits = bits, 8 * FILTER_BYTES >> bits
-        self.data = np.zeros((1 << bits, self.bits // 8), np.uint8)
-        for s, b in blocks.items():
-            self.data[s] = np.frombuffer(b, np.uint8)
+        self.blocks, self.shard_bits = blocks, bits
 
     @staticmethod
     def place(keys: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
@@ -215,49 +216,92 @@ class Filter:
 
     @classmethod
     def block(cls, keys: np.ndarray, counts: np.ndarray, shard_bits: int) -> bytes:
-        """A shard's block; rare pairs are left out only as far as the block's size asks for it."""
-        bits = 8 * FILTER_BYTES >> shard_bits
+        """A shard's block with all its pairs: its part of FILTER_BYTES, or as much more as BITS bits for each entry ask for."""
         level = levels(counts)
-        least = 1
-        while level[counts >= least].sum() * BITS > bits:
-            least += 1
-        keys, level = keys[counts >= least], level[counts >= least]
+        bits = 8 * FILTER_BYTES >> shard_bits
+        while bits < level.sum() * BITS:
+            bits *= 2
         out = np.zeros(bits, bool)
         for q in range(1, int(level.max(initial=0)) + 1):
             for k in range(PROBES):
                 out[cls.place(keys[level >= q], q, k, bits)] = True
         return np.packbits(out, bitorder="little").tobytes()
 
-    def count(self, pairs: np.ndarray) -> np.ndarray:
-        """The least count of each pair's level, 0 for absent ones, by repeated probes."""
-        keys = pairs >> np.uint64(64 - self.shard_bits - _PAIR_BITS)
-        shard, keys = (keys >> np.uint64(_PAIR_BITS)).astype(np.int64), keys & np.uint64((1 << _PAIR_BITS) - 1)
-        level = np.zeros(len(pairs), np.int64)
-        live = np.arange(len(pairs))
+    @classmethod
+    def look(cls, block: bytes, keys: np.ndarray) -> np.ndarray:
+        """The level of each key in its shard's block, 0 for absent ones, by repeated probes."""
+        data = np.frombuffer(block, np.uint8)
+        level = np.zeros(len(keys), np.int64)
+        live = np.arange(len(keys))
         for q in range(1, MAX_LEVEL + 1):
             for k in range(PROBES):  # each probe looks only at those that the ones before found
-                place = self.place(keys[live], q, k, self.bits)
-                live = live[(self.data[shard[live], (place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+                place = cls.place(keys[live], q, k, 8 * len(data))
+                live = live[(data[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0]
             level[live] = q
             if not len(live):
                 break
-        return np.where(level > 0, np.ceil(BASE ** (np.maximum(level, 1) - 1) - 1e-9), 0)
+        return level
 
+    @staticmethod
+    def least(level: np.ndarray) -> np.ndarray:
+        """The least count of each level."""
+        return np.where(level > 0, np.ceil(BASE ** (np.maximum(level, 1) - 1.0) - 1e-9), 0)
 
-def build_filter(containers: DataFrame, bits: int) -> Filter:
-    """Counts of all pairs of the training documents, summed by shard; each shard sends its block, FILTER_BYTES in all."""
+    def count(self, pairs: np.ndarray) -> np.ndarray:
+        """The least count of each pair's level, 0 for absent ones."""
+        keys = pairs >> np.uint64(64 - self.shard_bits - _PAIR_BITS)
+        shard, keys = keys >> np.uint64(_PAIR_BITS), keys & np.uint64((1 << _PAIR_BITS) - 1)
+        level = np.zeros(len(pairs), np.int64)
+        for s, block in self.blocks.items():
+            of = np.flatnonzero(shard == np.uint64(s))
+            level[of] = self.look(block, keys[of])
+        return self.least(level)
 
-    def read(total, row):
-        short = np.frombuffer(row["keys"], np.uint8).reshape(_PAIR_BITS // 8, -1).T
-        keys = np.zeros((len(short), 8), np.uint8)
-        keys[:, : _PAIR_BITS // 8] = short
-        total.add(keys.view("<u8").ravel(), np.frombuffer(zstandard.decompress(row["counts"]), np.uint32))
 
-    def done(shard, total):
-        return pa.record_batch([pa.array([shard], pa.int32()), pa.array([Filter.block(*total.total(), bits)], pa.binary())], ["shard", "block"])
+def _pair_keys(columns: bytes) -> np.ndarray:
+    short = np.frombuffer(columns, np.uint8).reshape(_PAIR_BITS // 8, -1).T
+    keys = np.zeros((len(short), 8), np.uint8)
+    keys[:, : _PAIR_BITS // 8] = short
+    return keys.view("<u8").ravel()
+
+
+def _pair_answers(containers: DataFrame, bits: int) -> DataFrame:
+    """(chunk, shard, counts): for each container and shard, the levels of its pairs in the filter, in the order of their keys.
+
+    A shard sums the counts of the training documents' pairs into its block and looks up what each container asks. There are
+    about as many shards as containers, so the keys that it holds meanwhile are about those of one container.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, total, held = None, _Sum(), []
+
+        def answers():
+            if not held:
+                return
+            block = Filter.block(*total.total(), bits)
+            at = 0
+            while at < len(held):
+                to, size = at, 0
+                while to < len(held) and (to == at or size < LOOK):
+                    size += len(held[to][1]) // (_PAIR_BITS // 8)
+                    to += 1
+                keys = [_pair_keys(h[1]) for h in held[at:to]]
+                found = np.split(Filter.look(block, np.concatenate(keys)).astype(np.uint8), np.cumsum([len(k) for k in keys])[:-1])
+                yield pa.record_batch([pa.array([h[0] for h in held[at:to]], pa.int64()), pa.array([shard] * (to - at), pa.int32()), pa.array([zstandard.compress(x.tobytes(), 1) for x in found], pa.binary())], ["chunk", "shard", "counts"])
+                at = to
 
-    rows = containers.mapInArrow(lambda batches: _pair_rows(batches, bits), "shard int, keys binary, counts binary").repartition("shard").sortWithinPartitions("shard")
-    return Filter({r[0]: bytes(r[1]) for r in rows.mapInArrow(lambda batches: _by_shard(batches, read, done), "shard int, block binary").collect()}, bits)
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["shard"] != shard:
+                    yield from answers()
+                    shard, total, held = row["shard"], _Sum(), []
+                counts = np.frombuffer(zstandard.decompress(row["counts"]), np.uint32)
+                total.add(_pair_keys(row["keys"])[counts > 0], counts[counts > 0])
+                held.append((row["chunk"], row["keys"]))
+        yield from answers()
+
+    rows = containers.mapInArrow(lambda batches: _pair_rows(batches, bits), "shard int, chunk long, keys binary, counts binary").repartition("shard").sortWithinPartitions("shard")
+    return rows.mapInArrow(run, "chunk long, shard int, counts binary")
 
 
 def _answers(containers: DataFrame, vocab: DataFrame, bits: int) -> DataFrame:
@@ -285,35 +329,40 @@ def _answers(containers: DataFrame, vocab: DataFrame, bits: int) -> DataFrame:
 
 def score(docs: DataFrame, training: Column) -> DataFrame:
     """doc_id, training, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
-    spark = docs.sparkSession
     containers = cut(pack(docs, training), "containers")
     bits = shard_bits(containers)
     vocab = cut(vocabulary(containers, bits), "vocabulary")
     n, v = vocab.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    shared = spark.sparkContext.broadcast(build_filter(containers, bits))
     none = F.lit(None)
-    told = _answers(containers, vocab, bits).select("chunk", "shard", "counts", none.cast("array<long>").alias("doc_ids"), none.cast("array<boolean>").alias("training"), none.cast("binary").alias("offs"), none.cast("binary").alias("body"))
-    whole = containers.select("chunk", F.lit(1 << bits).alias("shard"), none.cast("binary").alias("counts"), "doc_ids", "training", "offs", "body")
+    # by shard: the answers about words, those about pairs, the container
+    answers = _answers(containers, vocab, bits).unionByName(_pair_answers(containers, bits).withColumn("shard", F.col("shard") + F.lit(1 << bits)))
+    told = answers.select("chunk", "shard", "counts", none.cast("array<long>").alias("doc_ids"), none.cast("array<boolean>").alias("training"), none.cast("binary").alias("offs"), none.cast("binary").alias("body"))
+    whole = containers.select("chunk", F.lit(2 << bits).alias("shard"), none.cast("binary").alias("counts"), "doc_ids", "training", "offs", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve = shared.value
         parts: list[np.ndarray] = []
+        found: list[np.ndarray] = []
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
                 if row["body"] is None:  # the shards' answers come before their container
-                    parts.append(np.frombuffer(row["counts"], np.uint64))
+                    if row["shard"] < 1 << bits:
+                        parts.append(np.frombuffer(row["counts"], np.uint64))
+                    else:
+                        found.append(np.frombuffer(zstandard.decompress(row["counts"]), np.uint8))
                     continue
                 hashes, offs = _tokens(row["offs"], row["body"])
                 _, places = np.unique(hashes, return_inverse=True)
                 counts = np.concatenate(parts)[places].astype(np.float64)
-                parts = []
+                _, places = np.unique(_pairs(_previous(hashes, offs), hashes) >> np.uint64(64 - bits - _PAIR_BITS), return_inverse=True)
+                level = np.concatenate(found)[places].astype(np.int64)
+                parts, found = [], []
                 base = (counts + 1) / (n + v + 1)
                 before = np.empty_like(counts)
                 before[1:] = counts[:-1]
                 # the count of what comes before a document's first word is that of the end
                 before[offs[:-1]] = counts[offs[1:] - 1]
-                pairs = np.minimum(sieve.count(_pairs(_previous(hashes, offs), hashes)), np.minimum(before, counts))
+                pairs = np.minimum(Filter.least(level), np.minimum(before, counts))
                 model = (pairs + MU * base) / (before + MU)
                 sums = [np.add.reduceat(x, offs[:-1]) for x in (np.log10(base), np.log10(model), (counts > 0).astype(np.int64))]
                 columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["training"], pa.bool_()), pa.array(np.diff(offs), pa.int64()), pa.array(sums[2], pa.int64()), pa.array(np.full(len(offs) - 1, n), pa.int64()), pa.array(sums[0]), pa.array(sums[1])]
