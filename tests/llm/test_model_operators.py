@@ -229,6 +229,13 @@ def test_filter_holds_every_pair():
     assert (sieve.count((np.uint64(5) << np.uint64(50)) | (keys << np.uint64(10))) >= 1).all()
 
 
+def test_filter_levels_follow_the_counts():
+    keys = np.arange(4, dtype=np.uint64)
+    counts = np.array([1, 199_600, 12_000_000, 1 << 40], np.uint64)
+    got = lm_score.Filter({0: lm_score.Filter.block(keys, counts, 6)}, 6).count(keys << np.uint64(18))
+    assert (got <= counts).all() and (got * lm_score.BASE > counts).all()
+
+
 def test_language_model_pairs(spark):
     rows = documents(5)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

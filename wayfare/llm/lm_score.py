@@ -36,7 +36,7 @@ LEAST_BITS, MOST_BITS = 6, 14
 FILTER_BYTES, BITS, PROBES = 32 << 20, 9, 4
 #: Pairs that a shard looks up at a time.
 LOOK = 1 << 20
-BASE, MAX_LEVEL, MU = 1.7, 24, 60.0
+BASE, MU = 1.7, 60.0
 END = np.uint64(0xE0D0C0B0A0908071)
 _PAIR_BITS = 40
 
@@ -200,7 +200,7 @@ def vocabulary(containers: DataFrame, bits: int) -> DataFrame:
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(BASE) + 1e-9), MAX_LEVEL).astype(np.int64)
+    return (1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(BASE) + 1e-9)).astype(np.int64)
 
 
 class Filter:
@@ -216,24 +216,28 @@ class Filter:
 
     @classmethod
     def block(cls, keys: np.ndarray, counts: np.ndarray, shard_bits: int) -> bytes:
-        """A shard's block with all its pairs: its part of FILTER_BYTES, or as much more as BITS bits for each entry ask for."""
+        """A shard's block with all its pairs: its part of FILTER_BYTES, or as much more as BITS bits for each entry ask for.
+
+        The first byte is the greatest level, at most 84 for counts of 64 bits.
+        """
         level = levels(counts)
         bits = 8 * FILTER_BYTES >> shard_bits
         while bits < level.sum() * BITS:
             bits *= 2
         out = np.zeros(bits, bool)
-        for q in range(1, int(level.max(initial=0)) + 1):
+        top = int(level.max(initial=0))
+        for q in range(1, top + 1):
             for k in range(PROBES):
                 out[cls.place(keys[level >= q], q, k, bits)] = True
-        return np.packbits(out, bitorder="little").tobytes()
+        return bytes([top]) + np.packbits(out, bitorder="little").tobytes()
 
     @classmethod
     def look(cls, block: bytes, keys: np.ndarray) -> np.ndarray:
         """The level of each key in its shard's block, 0 for absent ones, by repeated probes."""
-        data = np.frombuffer(block, np.uint8)
+        data = np.frombuffer(block, np.uint8, offset=1)
         level = np.zeros(len(keys), np.int64)
         live = np.arange(len(keys))
-        for q in range(1, MAX_LEVEL + 1):
+        for q in range(1, block[0] + 1):
             for k in range(PROBES):  # each probe looks only at those that the ones before found
                 place = cls.place(keys[live], q, k, 8 * len(data))
                 live = live[(data[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0]
