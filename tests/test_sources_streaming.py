@@ -6,6 +6,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from wayfare.operators import transformer
+from wayfare.plans.events import throttle
 from wayfare.sources import files
 from wayfare.streaming import events as S
 
@@ -70,3 +71,20 @@ def test_streams(spark, tmp_path):
     batch = spark.createDataFrame(rows, schema)
     assert {(r.key, r.fired, r.n) for r in S.debounce(batch, "2 seconds").collect()} == {(1, 3, 3), (2, 4, 1), (2, 6, 2)}
     assert batch.select(F.count("*")).first()[0] == 6
+
+
+def test_throttle_is_greedy(spark):
+    rows = [(k, 1, 400 * k) for k in range(9)] + [(100 + k, 2, k * k * 70 % 5000) for k in range(40)] + [(200, None, 5), (201, None, 7), (202, 3, None), (203, 3, 1)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, t long").repartition(3)
+    wanted, last, before = [], {}, {}
+    for e, u, t in sorted(rows, key=lambda r: (r[1] or 0, -1 if r[2] is None else r[2], r[0])):
+        if t is None or u not in last or t - last[u] >= 600:
+            wanted.append((e, None if t is None or u not in before else t - before[u]))
+            if t is not None:
+                last[u] = t
+        if t is not None:
+            before[u] = t
+    got = throttle(df, 600).collect()
+    assert sorted((r.event_id, r.gap) for r in got) == sorted(wanted)
+    assert sorted(r.event_id for r in got if r.user_id == 1) == [0, 2, 4, 6, 8]
+    assert throttle(df.limit(0), 600).count() == 0

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .registry import query, table
@@ -85,11 +88,36 @@ def carry_forward(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", "user_id", F.last(F.when(F.col("event_type") == "purchase", F.col("value")), ignorenulls=True).over(w).alias("last_purchase"))
 
 
+def throttle(rows: DataFrame, least: int) -> DataFrame:
+    """(event_id, user_id, gap) of the rows at least so many microseconds after the user's last one that passed.
+
+    Rows (event_id, user_id, t) stream in order through one task for each user, which carries two times. The gap is to the
+    user's row before, passed or not. Rows without a time pass and are not carried.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user = before = last = None
+        for batch in batches:
+            events, users, times = (c.to_pylist() for c in batch.columns)
+            passed, gaps = [], []
+            for k, (u, t) in enumerate(zip(users, times, strict=True)):
+                if u != user:
+                    user, before, last = u, None, None
+                if t is None or last is None or t - last >= least:
+                    passed.append(k)
+                    gaps.append(None if t is None or before is None else t - before)
+                    last = last if t is None else t
+                before = before if t is None else t
+            yield pa.record_batch([pa.array([events[k] for k in passed], pa.int64()), pa.array([users[k] for k in passed], pa.int64()), pa.array(gaps, pa.int64())], ["event_id", "user_id", "gap"])
+
+    rows = rows.select(F.col("event_id").cast("long"), F.col("user_id").cast("long"), "t").repartition("user_id").sortWithinPartitions("user_id", "t", "event_id")
+    return rows.mapInArrow(run, "event_id long, user_id long, gap long")
+
+
 @query("throttled_gaps", "WITH g AS (SELECT event_id, user_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) SELECT event_id, user_id, gap FROM g WHERE gap IS NULL OR gap >= 600000000")
 def throttled_gaps(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))
-    return events(spark, sf_dir).select("event_id", "user_id", gap.alias("gap")).where("gap IS NULL OR gap >= 600000000")
+    """Greedy, as the streaming form: the SQL looks at the event before only and misses some that pass."""
+    return throttle(events(spark, sf_dir).select("event_id", "user_id", F.unix_micros("ts").alias("t")), 600_000_000)
 
 
 @query("leading_run", "WITH r AS (SELECT user_id, value > 20 AS ready, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) SELECT user_id, least(coalesce(min(CASE WHEN NOT ready THEN r END) - 1, count(*)), 8) AS usable FROM r GROUP BY user_id")
