@@ -20,16 +20,18 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = []
+#: A span is hashed in stretches of this many bytes, each byte through a table of random numbers for its place.
+_STRETCH = 64
+_TABLE = np.random.Generator(np.random.PCG64(20240607)).integers(0, 1 << 64, _STRETCH << 8, dtype=np.uint64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a local one is set only where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors see; a local one is made only in local mode (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         where = f"file://{tempfile.mkdtemp(prefix='wayfare-')}"
@@ -38,7 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/wayfare/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A path of its own in the shared folder; what the application wrote there is deleted when it ends."""
+    top = f"{shared_dir(spark)}/wayfare/{spark.sparkContext.applicationId}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(top)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return f"{top}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -60,14 +66,6 @@ def crc_mod(column, n: int):
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, CHUNK + 8)
-        inverse = pow(_BASE, -1, 1 << 64)
-        _POWERS[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, inverse)]
-    return _POWERS[0], _POWERS[1]
-
-
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser; equal inputs and seeds give equal outputs on every worker."""
     h = h ^ np.uint64((seed * 0xD6E8FEB86659FD93 + 0x2545F4914F6CDD1D) & 0xFFFFFFFFFFFFFFFF)
@@ -115,11 +113,30 @@ def _spans(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes, in a fixed number of passes over the chunk."""
-    power, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of each span (one byte or more), in a fixed number of passes over the chunk.
+
+    A byte counts with a random number for its value and place, stretches of _STRETCH bytes are mixed with their number and
+    added up, so no structure of a text makes two spans agree: n spans hold an equal pair with a chance of about n * n / 2**65.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths = ends - starts
+    stretches = (lengths + _STRETCH - 1) // _STRETCH
+    one = int(stretches.max()) == 1
+    if not one:
+        owner = np.cumsum(stretches) - stretches
+        number = np.arange(int(stretches.sum())) - np.repeat(owner, stretches)
+        starts = np.repeat(starts, stretches) + _STRETCH * number
+        ends = np.minimum(starts + _STRETCH, np.repeat(ends, stretches))
+    kind = np.int32 if len(data) < 1 << 30 else np.int64
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum()), dtype=kind) - np.repeat(first.astype(kind), sizes)
+    at = place + np.repeat(starts.astype(kind), sizes)
+    sums = np.add.reduceat(_TABLE[(place << kind(8)) | data[at]], first)
+    if one:
+        return mix(sums + lengths.astype(np.uint64))
+    return mix(np.add.reduceat(mix(sums + number.astype(np.uint64) * np.uint64(_BASE), 3), owner) + lengths.astype(np.uint64))
 
 
 def words(data: np.ndarray, offs: np.ndarray, lower: bool = True):

@@ -78,25 +78,53 @@ def split(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 class Known:
-    """A direct-mapped cache from 64-bit piece hashes to numbers: two arrays of a fixed size, whatever passes through."""
+    """Numbers by 64-bit piece hash. Nothing is lost: a sorted table, and one of late comers that is merged into it when it
+    has grown; a direct-mapped cache of a fixed size before them spares most searches."""
 
-    def __init__(self, bits: int = 20):
+    def __init__(self, keys: np.ndarray | None = None, values: np.ndarray | None = None, bits: int = 18):
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.start = (keys, values) if keys is not None else none
         self.mask = np.uint64((1 << bits) - 1)
-        self.keys = np.zeros(1 << bits, np.uint64)
-        self.values = np.full(1 << bits, -1, np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all but the table given at the start (its keys ascend)."""
+        self.tables = [self.start, (np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        self.cache = np.zeros(int(self.mask) + 1, np.uint64), np.full(int(self.mask) + 1, -1, np.int64)
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        at = np.searchsorted(a[0], b[0])
+        return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
+
+    def _keep(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        slot = (hashes & self.mask).astype(np.int64)
+        self.cache[0][slot], self.cache[1][slot] = hashes, -1  # of two that share a slot, the last one's key stays
+        own = self.cache[0][slot] == hashes
+        self.cache[1][slot[own]] = values[own]
 
     def get(self, hashes: np.ndarray) -> np.ndarray:
         """Number by hash, -1 if unknown."""
         slot = (hashes & self.mask).astype(np.int64)
-        return np.where(self.keys[slot] == hashes, self.values[slot], -1)
+        out = np.where(self.cache[0][slot] == hashes, self.cache[1][slot], -1)
+        miss = np.flatnonzero(out < 0)
+        if len(miss):
+            asked, back = np.unique(hashes[miss], return_inverse=True)
+            found = np.full(len(asked), -1, np.int64)
+            for keys, values in self.tables:
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                    found = np.where(keys[at] == asked, values[at], found)
+            out[miss] = found[back]
+            self._keep(asked[found >= 0], found[found >= 0])
+        return out
 
     def put(self, hashes: np.ndarray, values: np.ndarray) -> None:
-        slot = (hashes & self.mask).astype(np.int64)
-        slot, at = np.unique(slot, return_index=True)  # of two that share a slot, the first
-        self.keys[slot], self.values[slot] = hashes[at], values[at]
-
-    def clear(self) -> None:
-        self.values.fill(-1)
+        """Add numbers of unknown, ascending hashes."""
+        self.tables[1] = self._merged(self.tables[1], (hashes, values))
+        if len(self.tables[1][0]) > (1 << 14) + len(self.tables[0][0]) // 8:
+            self.tables = [self._merged(*self.tables), (np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        self._keep(hashes, values)
 
 
 def numbered(hashes: np.ndarray, known: Known, add) -> np.ndarray:
