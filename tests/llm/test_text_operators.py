@@ -6,11 +6,12 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from wayfare.llm import chat, decontaminate, language, line_dedup, quality
-from wayfare.llm.common import crc_mod
+from wayfare.llm.common import chunks, crc_mod
 
 LONG = "This common line is long enough to be a key of its own, surely"
 ODD = [
@@ -141,8 +142,62 @@ def test_language(spark, docs):
     by = {r.doc_id: r for r in odd.collect()}
     assert by[6].lang_pred == by[7].lang_pred == "und" and by[6].score == 0 and all(0 <= r.score <= 1 for r in by.values())
     assert {r.lang_pred for r in language.identify(docs, language.train(docs.limit(0), F.lit(True))).collect()} == {"und"}
-    assert language.document_vector("12 34 !?") is None
-    assert np.allclose(language.document_vector("AbC"), language.document_vector("abc"))
+    assert language.identify(docs.limit(0), model).count() == 0 and not vectors(["12 34 !?", None, ""]).any()
+    assert np.allclose(*vectors(["AbC", "abc"]))
+
+
+def vectors(texts):
+    return np.concatenate([language.document_vectors(data, offs) for _, _, data, offs in chunks(pa.array(texts, pa.string()))])
+
+
+def brute_vector(text):
+    """Bind, bundle: trigram by trigram."""
+    letters = language._letters()[0]
+    kinds = [0]
+    for c in (text or "").encode("utf-8", "surrogatepass").decode("utf-8", "surrogatepass") + " ":
+        low = ord(c.lower()[0])
+        kind = 0 if not c.isalpha() else low - 96 if 97 <= low <= 122 else 27 + low % (language.CLASSES - 27)
+        if kind or kinds[-1]:
+            kinds.append(kind)
+    out = np.zeros(language.DIM)
+    for a, b, c in zip(kinds, kinds[1:], kinds[2:]):
+        out += letters[a].astype(float) * np.roll(letters[b], 1) * np.roll(letters[c], 2)
+    return out
+
+
+def test_language_vectors_and_cosines(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    letters = ["a", "b", "Ż", "中", "文", " ", "  ", "1", "\n", "😀", "é", "ß"]
+    texts = [None, "", "a", " a", "1", "a1b", "中", *("".join(rng.choice(letters, int(rng.integers(0, 60)))) for _ in range(300))]
+    wanted = np.stack([brute_vector(t) for t in texts])
+    assert np.allclose(vectors(texts), wanted)
+    monkeypatch.setattr(language, "STRETCH", 7)
+    monkeypatch.setattr(language, "BLOCK", 3)
+    assert np.allclose(vectors(texts), wanted)
+    assert np.allclose(np.concatenate([vectors([t]) for t in texts]), wanted)  # each long text in stretches
+    names, rows = ["x", "y", "z"], [(k, t, "xyz"[k % 3]) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    unit = lambda v: v / (np.linalg.norm(v) or 1)
+    prototypes = np.stack([unit(sum(unit(wanted[k]) for k in range(len(rows)) if k % 3 == j)) for j in range(3)])
+    model = language.train(df, F.lit(True))
+    assert model[0] == names and np.allclose(model[1], prototypes, atol=1e-6)
+    for r in language.identify(df, model).collect():
+        cosines = prototypes @ unit(wanted[r.doc_id])
+        if not wanted[r.doc_id].any():
+            assert (r.lang_pred, r.score, r.cosine) == ("und", 0.0, 0.0)
+            continue
+        weights = np.exp(language.SHARPNESS * (cosines - cosines.max()))
+        assert r.cosine == pytest.approx(cosines.max(), abs=1e-6) and r.score == pytest.approx(1 / weights.sum(), abs=1e-5)
+        assert cosines["xyz".index(r.lang_pred)] == pytest.approx(cosines.max(), abs=1e-6)
+
+
+def test_every_language_has_a_prototype(spark, monkeypatch):
+    rows = [(k, f"{'q' * (k % 90 + 1)} w", f"l{k % 90}") for k in range(900)] + [(1000, "only one of its kind", "rare")] + [(2000 + k, "the most of all", "hot") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit(None).cast("string"))
+    assert len(language.train(df, F.lit(True), most=20)[0]) == 92
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 50)
+    with pytest.raises(ValueError):
+        language.train(df, F.lit(True))
 
 
 def test_chat(spark):
