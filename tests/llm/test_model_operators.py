@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import functions as F
 
 from wayfare.llm import bpe, lm_score, near_dedup, pieces, token_files, toxicity
-from wayfare.llm.common import chunks, crc_mod
+from wayfare.llm.common import chunks, crc_mod, span_hashes
 
 P = pytest.importorskip("public_tokenizers")
 WORDS = [f"w{k}" for k in range(400)]
@@ -88,11 +88,40 @@ def test_estimate():
     assert abs(guess[0] - 2600 / 3400) < 5 * error[0]
 
 
+def thue_morse(n):
+    """Two texts whose polynomial hashes modulo 2**64 agree."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
 def odd_texts():
     rng = np.random.default_rng(6)
     return ["", None, "'s", "a's", " 's", "\n's", "'sfoo", "x" * 700, " ".join(rng.choice(WORDS, 3000)), *("".join(rng.choice(LETTERS, int(rng.integers(0, 40)))) for _ in range(400))]
 
 
+def test_hashes_tell_structured_texts_apart():
+    for n in (1024, 2048, 4096):
+        data = np.frombuffer("".join(thue_morse(n)).encode(), np.uint8)
+        x = span_hashes(data, np.array([0, n]), np.array([n, 2 * n]))
+        assert x[0] != x[1] and x[1] == span_hashes(data[n:], np.array([0]), np.array([n]))[0]
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 3, 4000).astype(np.uint8)
+    a = rng.integers(0, 3800, 5000)
+    b = a + rng.integers(1, 200, 5000)
+    got, wanted = span_hashes(data, a, b), [data[x:y].tobytes() for x, y in zip(a, b, strict=True)]
+    assert len(set(got.tolist())) == len(set(wanted)) == len({*zip(got.tolist(), wanted, strict=True)})
+
+
+def test_known_loses_nothing():
+    known, rng, wanted = pieces.Known(bits=4), np.random.default_rng(3), {}
+    for _ in range(30):
+        asked = rng.integers(0, 60_000, 4000).astype(np.uint64)
+        got = pieces.numbered(asked, known, lambda places: range(len(wanted), len(wanted) + len(places)))
+        for h, n in zip(asked.tolist(), got.tolist(), strict=True):
+            assert wanted.setdefault(h, n) == n
+    assert sorted(wanted.values()) == list(range(len(wanted)))
+
+
 def test_pieces():
     pattern, texts = regex.compile(P.PATTERN), odd_texts()
     for at, to, data, offs in chunks(pa.array(texts, pa.string()), 2000):
@@ -110,13 +139,19 @@ def test_bpe(spark, monkeypatch):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = odd_texts()
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
-    got = {r.doc_id: r for r in bpe.encode_and_decode(df, path).collect()}
-    assert len(got) == len(texts)
-    for k, t in enumerate(texts):
-        ids = library.encode_ordinary(t or "")
-        assert np.frombuffer(bytes(got[k].ids), "<u4").tolist() == ids and bytes(got[k].decoded) == (t or "").encode() and got[k].n_tokens == len(ids)
+    a, b = thue_morse(1024)
+    texts = [*odd_texts(), "中文沒有空格的長句子可以很長很長" * 40 + "ж" * 300, f"{a} {b}", "x" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ids", F.lit("mine")).repartition(3)
+    for shared in (bpe.SHARED, 100, 0):  # beyond the table of shared words each task folds its own
+        got = {r.doc_id: r for r in bpe.encode_and_decode(df, path, shared).collect()}
+        assert len(got) == len(texts)
+        for k, t in enumerate(texts):
+            ids = library.encode_ordinary(t or "")
+            assert np.frombuffer(bytes(got[k].ids), "<u4").tolist() == ids and bytes(got[k].decoded) == (t or "").encode() and got[k].n_tokens == len(ids)
+    assert len(bpe.cuts(texts[-3].encode(), path)) > 40 and bpe.cuts(b"x" * 400, path) == []
+    monkeypatch.setattr(bpe, "MEMORY", 50)
+    got = {r.doc_id: bytes(r.decoded) for r in bpe.encode_and_decode(df, path, 100).collect()}
+    assert got == {k: (t or "").encode() for k, t in enumerate(texts)}
     for w in (b"hello world" * 40, b"x" * 999):
         assert bpe.merge_long(w, ranks) == tiktoken.Encoding("one", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary(w.decode())
     assert bpe.encode_and_decode(df.limit(0), path).count() == 0

@@ -1,14 +1,20 @@
 """Byte-level BPE with ranked merges as a fold of Spark's higher-order functions.
 
-A task streams through three narrow steps without a shuffle: (1) each chunk of documents is split into the pattern's matches, and the
-words not met before in this task get numbers; (2) Spark folds the ranked merges over the byte arrays of these distinct
-words, with the ranks in a literal map (hashed into MAP_SLOTS small maps, so that a lookup is no scan), and decoding
-concatenates the binary pieces; (3) the documents' numbers become ids. A fold takes a step for each possible
-merge: the leftmost pair of least rank is joined, and only the ranks beside it are looked up again.
-
-A match of more than LONG bytes would make a fold of quadratic cost; such a one is merged with a heap in step 3, to the
-same result. Defined results: null and empty texts have no tokens; repeated rows give a row each; special tokens are
-ordinary text.
+1. Each task splits its texts into the pattern's matches and hands on its distinct words; Spark counts the tasks of each. Words
+   of two tasks or more, the most widespread first and SHARED at most, are folded once and broadcast (24 bytes and
+   4 a token each).
+2. The texts are split again. Words that are not in the broadcast table get numbers, and Spark folds them in their task:
+   a word of one task is so folded once as well, and what lies beyond SHARED costs time, never a result.
+3. The documents' numbers become ids, and ids are decoded by concatenating the tokens' binary pieces.
+
+The fold goes over the byte array of a word, with the ranks in a literal map (hashed into MAP_SLOTS small maps, so that a
+lookup is no scan). It takes a step for each possible merge: the leftmost pair of least rank is joined, and only the ranks
+beside it are looked up again. Its cost is quadratic, so a match of more than LONG bytes is first cut where no token of the
+vocabulary that stands in the text crosses: no merge can. Only a stretch over FOLD bytes without such a place (a run of
+one letter, say) is merged with a heap, to the same result.
+
+Defined results: null and empty texts have no tokens; repeated rows give a row each; special tokens are ordinary text; an
+empty table gives an empty table. doc_id is cast to long.
 """
 
 from __future__ import annotations
@@ -26,12 +32,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, cut, span_hashes
 from .pieces import Known, numbered, split
 
-MAP_SLOTS, LONG = 1 << 16, 256
+MAP_SLOTS, LONG, FOLD = 1 << 16, 256, 1024
+#: Words that are folded once for all tasks, at most: 24 bytes and 4 a token each.
+SHARED = 1_500_000
 #: Words that a task remembers; then it starts to number anew.
 MEMORY = 2_000_000
+#: Words that one task folds of the shared ones.
+_FOLDS = 16_384
 _CHUNK = 1 << 18
 _NONE = 2147483647
 
@@ -56,7 +66,7 @@ def _rank(table: Column, token: Column) -> Column:
 
 
 def fold(word: Column, table: Column) -> Column:
-    """struct(ids, bytes) of one word (binary): its tokens' ids and, from the tokens' pieces, its decoding."""
+    """The ids of one word (binary)."""
     one = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)).cast("binary"))
     first = F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda i: _rank(table, F.substring(word, i, F.lit(2)).cast("binary")))
 
@@ -80,12 +90,12 @@ def fold(word: Column, table: Column) -> Column:
 
     many = F.aggregate(F.sequence(F.lit(2), F.length(word)), F.struct(one.alias("p"), first.alias("r")), step, lambda s: s["p"])
     pieces = F.when((F.length(word) == 1) | (_rank(table, word) != _NONE), F.array(word)).otherwise(many)
-    return F.get(F.transform(F.array(pieces), lambda p: F.struct(F.transform(p, lambda x: _rank(table, x)).alias("ids"), F.aggregate(p, F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x)).alias("bytes"))), F.lit(0))
+    return F.transform(pieces, lambda x: _rank(table, x))
 
 
-def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges with a heap, for words of any length."""
-    if word in ranks:
+def merge_long(word: bytes, ranks: dict[bytes, int], whole: bool = True) -> list[int]:
+    """The same merges with a heap, for words of any length; `whole` looks the word itself up first."""
+    if whole and word in ranks:
         return [ranks[word]]
     parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
     after, before = [*range(1, len(parts)), -1], [-1, *range(len(parts) - 1)]
@@ -113,53 +123,175 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, n = Known(), 0
-    for batch in batches:
-        for at, to, data, offs in chunks(batch.column(1), _CHUNK):
-            starts, ends, hashes, piece_offs = split(data, offs)
-            if n > MEMORY:
-                known.clear()
-                n = 0
-            base, new = n, []
-
-            def add(places, data=data, starts=starts, ends=ends, new=new, base=base):
-                raw = data.tobytes()
-                numbers = range(base + len(new), base + len(new) + len(places))
-                new += [raw[starts[p] : ends[p]] for p in places]
-                return numbers
-
-            numbers = numbered(hashes, known, add)
-            n += len(new)
-            short = [w if len(w) <= LONG else None for w in new]
-            yield pa.record_batch(
-                [
-                    pa.array([batch.column(0).slice(at, to - at).to_pylist()], pa.list_(pa.int64())),
-                    pa.array([piece_offs.astype(np.int64).tobytes()], pa.binary()),
-                    pa.array([numbers.astype(np.int32).tobytes()], pa.binary()),
-                    pa.array([base], pa.int64()),
-                    pa.array([short], pa.list_(pa.binary())),
-                    pa.array([[w for w in new if len(w) > LONG]], pa.list_(pa.binary())),
-                ],
-                ["ids", "offs", "numbers", "base", "words", "long"],
-            )
+@functools.lru_cache(maxsize=2)
+def _starts(path: str) -> frozenset[bytes]:
+    """All that a token begins with."""
+    return frozenset(t[:k] for t in load_ranks(path) for k in range(1, len(t) + 1))
+
+
+def cuts(word: bytes, path: str) -> list[int]:
+    """Places inside a word that no merge crosses: no token that stands in the word covers them. [] if the parts would not give the word's ids."""
+    ranks, starts = load_ranks(path), _starts(path)
+    out, reach = [], 0
+    for at in range(len(word)):
+        if at and reach <= at:
+            out.append(at)
+        n = 1
+        while at + n <= len(word) and (part := word[at : at + n]) in starts:
+            if part in ranks:
+                reach = max(reach, at + n)
+            n += 1
+    parts = [word[a:b] for a, b in zip([0, *out], [*out, len(word)], strict=True)]
+    # a part that is a token of its own must also come about by merges
+    return out if all(len(p) == 1 or p not in ranks or merge_long(p, ranks, False) == [ranks[p]] for p in parts) else []
+
+
+def _words(data: np.ndarray, offs: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """pieces.split, with long words cut."""
+    starts, ends, hashes, piece_offs = split(data, offs)
+    long = np.flatnonzero(ends - starts > LONG)
+    if len(long):
+        raw = data.tobytes()
+        more, at = [], []
+        for p in long.tolist():
+            if raw[starts[p] : ends[p]] in load_ranks(path):
+                continue
+            found = [int(starts[p]) + x for x in cuts(raw[starts[p] : ends[p]], path)]
+            more += found
+            at += [p + 1] * len(found)
+        if more:
+            starts = np.insert(starts, at, more)
+            ends = np.insert(ends, np.array(at) - 1, more)
+            piece_offs = piece_offs + np.searchsorted(np.array(at), piece_offs, "right")
+            hashes = span_hashes(data, starts, ends)
+    return starts, ends, hashes, piece_offs
+
+
+def _distinct(path: str):
+    """The distinct words of a task, but those that only the heap can merge."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n = Known(), 0
+        for batch in batches:
+            for _, _, data, offs in chunks(batch.column(0), _CHUNK):
+                starts, ends, hashes, _ = _words(data, offs, path)
+                if n > MEMORY:
+                    known.clear()
+                    n = 0
+                new = []
+
+                def add(places, data=data, starts=starts, ends=ends, new=new):
+                    raw = data.tobytes()
+                    new += [raw[starts[p] : ends[p]] for p in places if ends[p] - starts[p] <= FOLD]
+                    return np.zeros(len(places), np.int64)
+
+                numbered(hashes, known, add)
+                n += len(new)
+                if new:
+                    yield pa.record_batch([pa.array(new, pa.binary())], ["word"])
+
+    return run
+
+
+def _bound(column, table: Column) -> Column:
+    """column(map) with the literal map bound once, so that plans and workers hold one copy of it."""
+    return F.get(F.transform(F.array(table), column), F.lit(0))
+
+
+def shared_words(docs: DataFrame, rank_file: str, table: Column, most: int = SHARED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, tokens by word, ids) of the words of two tasks or more, in ascending order of the hashes, `most` at most."""
+    seen = docs.select("text").mapInArrow(_distinct(rank_file), "word binary").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    seen = cut(seen.where("n > 1").select("word", F.least("n", F.lit(4096)).alias("n")), "bpe-words")
+    least, words = 1 << 30, 0
+    for n, count in sorted((tuple(r) for r in seen.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True):
+        if words + count > most:
+            break
+        least, words = n, words + count
+    if not words:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = b"".join(batch.column(0).to_pylist())
+            ends = np.cumsum(pa.compute.binary_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64))
+            keys = span_hashes(np.frombuffer(data, np.uint8), np.concatenate([[0], ends[:-1]]), ends)
+            order = np.argsort(keys)
+            own = batch.column(1).take(pa.array(order))
+            parts = (keys[order], pa.compute.list_value_length(own).to_numpy().astype(np.uint32), own.flatten().to_numpy().astype(np.uint32))
+            yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in parts], ["keys", "counts", "ids"])
+
+    # few words take long to fold, so they are dealt out by their number, not by their bytes
+    chosen = seen.where(F.col("n") >= least).select("word").repartition(words // _FOLDS + 1)
+    rows = chosen.select("word", _bound(lambda t: fold(F.col("word"), t), table).alias("ids")).mapInArrow(pack, "keys binary, counts binary, ids binary").collect()
+    keys = np.frombuffer(b"".join(r["keys"] for r in rows), np.uint64)
+    counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.uint32)
+    ids = np.frombuffer(b"".join(r["ids"] for r in rows), np.uint32)
+    order = np.argsort(keys)
+    store = _Store(np.uint32)
+    store.append(ids, counts)
+    return keys[order], counts[order], store.gather(order)[0]
+
+
+def _split(path: str, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = shared.value
+        known = Known(keys, np.arange(len(keys)))
+        n = len(keys)
+        for batch in batches:
+            for at, to, data, offs in chunks(batch.column(1), _CHUNK):
+                starts, ends, hashes, piece_offs = _words(data, offs, path)
+                if n > MEMORY + len(keys):
+                    known.clear()
+                    n = len(keys)
+                base, new = n, []
+
+                def add(places, data=data, starts=starts, ends=ends, new=new, base=base):
+                    raw = data.tobytes()
+                    numbers = range(base + len(new), base + len(new) + len(places))
+                    new += [raw[starts[p] : ends[p]] for p in places]
+                    return numbers
+
+                numbers = numbered(hashes, known, add)
+                n += len(new)
+                yield pa.record_batch(
+                    [
+                        pa.array([batch.column(0).slice(at, to - at).to_pylist()], pa.list_(pa.int64())),
+                        pa.array([piece_offs.astype(np.int64).tobytes()], pa.binary()),
+                        pa.array([numbers.astype(np.int32).tobytes()], pa.binary()),
+                        pa.array([base], pa.int64()),
+                        pa.array([[w if len(w) <= FOLD else None for w in new]], pa.list_(pa.binary())),
+                        pa.array([[w for w in new if len(w) > FOLD]], pa.list_(pa.binary())),
+                    ],
+                    ["ids", "offs", "numbers", "base", "words", "long"],
+                )
+
+    return run
+
+
+def _room(array: np.ndarray, n: int) -> np.ndarray:
+    """array, or a longer copy that has n places."""
+    if n <= len(array):
+        return array
+    out = np.zeros(max(n, len(array) + len(array) // 2), array.dtype)
+    out[: len(array)] = array
+    return out
 
 
 class _Store:
     """Flat values by number, with their offsets; slices of many numbers are gathered at once."""
 
     def __init__(self, kind):
-        self.kind, self.flat, self.offs = kind, np.zeros(1 << 16, kind), np.zeros(1, np.int64)
+        self.flat, self.offs, self.n = np.zeros(1 << 16, kind), np.zeros(1 << 12, np.int64), 0
 
     def reset(self, n: int) -> None:
-        self.offs = self.offs[: n + 1]
+        self.n = n
 
     def append(self, values: np.ndarray, lengths: np.ndarray) -> None:
-        used = int(self.offs[-1])
-        while used + len(values) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        used, n = int(self.offs[self.n]), self.n + len(lengths)
+        self.flat, self.offs = _room(self.flat, used + len(values)), _room(self.offs, n + 1)
         self.flat[used : used + len(values)] = values
-        self.offs = np.concatenate([self.offs, used + np.cumsum(lengths)])
+        self.offs[self.n + 1 : n + 1] = used + np.cumsum(lengths)
+        self.n = n
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = self.offs[numbers + 1] - self.offs[numbers]
@@ -167,38 +299,39 @@ class _Store:
         return self.flat[np.repeat(self.offs[numbers] - ends[:-1], lengths) + np.arange(ends[-1])], ends
 
 
-def _assemble(path: str):
+@functools.lru_cache(maxsize=2)
+def _tokens(path: str) -> "_Store":
+    """The tokens' binary pieces by id."""
+    ranks = load_ranks(path)
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        pieces[rank] = token
+    out = _Store(np.uint8)
+    out.append(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.int64))
+    return out
+
+
+def _assemble(path: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, raw = _Store(np.uint32), _Store(np.uint8)
+        ids, tokens = _Store(np.uint32), _tokens(path)
+        ids.append(shared.value[1], shared.value[0])
         for batch in batches:
             for row in range(batch.num_rows):
-                base = batch.column(3)[row].as_py()
-                ids.reset(base)
-                raw.reset(base)
+                ids.reset(batch.column(3)[row].as_py())
                 made = batch.column(4)[row].values
                 if made is not None and len(made):
-                    folded, decoded = made.field(0), made.field(1)
-                    long = iter(batch.column(5)[row].as_py() or ())
                     if made.null_count:
-                        full = []
-                        for k in range(len(made)):
-                            if made[k].is_valid:
-                                full.append((folded[k].as_py(), decoded[k].as_py()))
-                            else:
-                                word = next(long)
-                                full.append((own := merge_long(word, load_ranks(path)), b"".join(_tokens(path)[i] for i in own)))
-                        folded, decoded = pa.array([x[0] for x in full], pa.list_(pa.int32())), pa.array([x[1] for x in full], pa.binary())
-                    ids.append(folded.flatten().to_numpy().astype(np.uint32), pa.compute.list_value_length(folded).to_numpy())
-                    joined = b"".join(decoded.to_pylist())
-                    raw.append(np.frombuffer(joined, np.uint8), pa.compute.binary_length(decoded).to_numpy())
+                        long = iter(batch.column(5)[row].as_py())
+                        made = pa.array([x if x is not None else merge_long(next(long), load_ranks(path)) for x in made.to_pylist()], pa.list_(pa.int32()))
+                    ids.append(made.flatten().to_numpy().astype(np.uint32), pa.compute.list_value_length(made).to_numpy())
                 offs = np.frombuffer(batch.column(1)[row].as_py(), np.int64)
-                numbers = np.frombuffer(batch.column(2)[row].as_py(), np.int32).astype(np.int64)
-                (flat, ends), (text, text_ends) = ids.gather(numbers), raw.gather(numbers)
-                at, text_at = ends[offs], text_ends[offs]
-                docs = batch.column(0)[row].values
+                flat, ends = ids.gather(np.frombuffer(batch.column(2)[row].as_py(), np.int32).astype(np.int64))
+                at = ends[offs]
+                text, text_ends = tokens.gather(flat.astype(np.int64))
+                text_at = text_ends[at]
                 yield pa.record_batch(
                     [
-                        docs,
+                        batch.column(0)[row].values,
                         pa.array(np.diff(at), pa.int64()),
                         pa.array([flat[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
                         pa.array([text[a:b].tobytes() for a, b in zip(text_at[:-1], text_at[1:], strict=True)], pa.binary()),
@@ -209,18 +342,14 @@ def _assemble(path: str):
     return run
 
 
-@functools.cache
-def _tokens(path: str) -> dict[int, bytes]:
-    return {i: t for t, i in load_ranks(path).items()}
-
-
-def encode_and_decode(docs: DataFrame, rank_file: str) -> DataFrame:
+def encode_and_decode(docs: DataFrame, rank_file: str, shared: int = SHARED) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers, binary) and decoded (binary) of each row of docs."""
     table = rank_map(load_ranks(rank_file))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_split, "ids array<long>, offs binary, numbers binary, base long, words array<binary>, long array<binary>")
-    # bound once, so that plans and workers hold one copy of the map
-    folded = F.get(F.transform(F.array(table), lambda t: F.transform("words", lambda w: F.when(w.isNotNull(), fold(w, t)))), F.lit(0))
-    return rows.select("ids", "offs", "numbers", "base", folded.alias("words"), "long").mapInArrow(_assemble(rank_file), "doc_id long, n_tokens long, ids binary, decoded binary")
+    keys, counts, ids = shared_words(docs, rank_file, table, shared)
+    give = docs.sparkSession.sparkContext.broadcast
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_split(rank_file, give(keys)), "ids array<long>, offs binary, numbers binary, base long, words array<binary>, long array<binary>")
+    folded = _bound(lambda t: F.transform("words", lambda w: F.when(w.isNotNull(), fold(w, t))), table)
+    return rows.select("ids", "offs", "numbers", "base", folded.alias("words"), "long").mapInArrow(_assemble(rank_file, give((counts, ids))), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def op8_higher_order_bpe(spark, sf_dir: str) -> DataFrame:
