@@ -67,6 +67,16 @@ def test_near_dedup(spark, n):
     assert near_dedup.near_duplicates(df.limit(0), n).count() == 0
 
 
+def test_near_dedup_repeated_id(spark):
+    """Rows of one id with different texts are one document with the least set; the result does not depend on their order."""
+    a, b = " ".join(WORDS[:30]), " ".join(WORDS[40:80])
+    rows = [(1, a), (2, a + " x"), (3, b), (3, a + " y"), (3, a + " y"), (4, b + " z"), (5, ""), (5, b)]
+    wanted = {(1, 27, 1), (2, 28, 1), (3, 28, 1), (3, 37, 1), (4, 38, 4), (5, 0, 5), (5, 37, 5)}
+    for order in (rows, rows[::-1]):
+        got = near_dedup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(3), 4).collect()
+        assert len(got) == len(rows) and {(r.doc_id, r.n_shingles, r.component_id) for r in got} == wanted
+
+
 def test_prefix_pairs_are_complete(spark):
     rng = np.random.default_rng(8)
     base = rng.choice(1 << 50, 60, replace=False).astype(np.uint64)
@@ -131,7 +141,7 @@ def test_pieces():
             assert [raw[a:b].decode() for a, b in zip(starts[of[k] : of[k + 1]], ends[of[k] : of[k + 1]], strict=True)] == pattern.findall(texts[at + k] or "")
 
 
-def test_bpe(spark, monkeypatch):
+def test_bpe(spark):
     import base64
 
     import tiktoken
@@ -149,8 +159,7 @@ def test_bpe(spark, monkeypatch):
             ids = library.encode_ordinary(t or "")
             assert np.frombuffer(bytes(got[k].ids), "<u4").tolist() == ids and bytes(got[k].decoded) == (t or "").encode() and got[k].n_tokens == len(ids)
     assert len(bpe.cuts(texts[-3].encode(), path)) > 40 and bpe.cuts(b"x" * 400, path) == []
-    monkeypatch.setattr(bpe, "MEMORY", 50)
-    got = {r.doc_id: bytes(r.decoded) for r in bpe.encode_and_decode(df, path, 100).collect()}
+    got = {r.doc_id: bytes(r.decoded) for r in bpe.encode_and_decode(df, path, 100, memory=50).collect()}
     assert got == {k: (t or "").encode() for k, t in enumerate(texts)}
     for w in (b"hello world" * 40, b"x" * 999):
         assert bpe.merge_long(w, ranks) == tiktoken.Encoding("one", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary(w.decode())
@@ -161,11 +170,15 @@ def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    texts = odd_texts()
-    df = spark.createDataFrame([(1000 - k, t) for k, t in enumerate(texts)] + [(None, "null id")], "doc_id long, text string").repartition(3)
+    library.encode_special_tokens = True
+    texts = [*odd_texts(), "a <|endoftext|> b", " ".join(thue_morse(1024))]
+    df = spark.createDataFrame([(1000 - k, t) for k, t in enumerate(texts)] + [(None, "null id")], "doc_id long, text string").repartition(3).withColumns({"file": F.lit("mine"), "row": F.lit("mine")})
     path = f"file://{tmp_path}/out"
-    token_files.write_token_files(df, P.path("byte_bpe_50k.json"), path)
+    token_files.write_token_files(df, P.path("byte_bpe_50k.json"), path, block_tokens=64, file_blocks=5)  # many blocks, and several files of a task
     got = token_files.digests(token_files.read_token_files(spark, path)).collect()
+    assert len({r.file for r in token_files.read_token_files(spark, path).select("file").collect()}) > 3
+    token_files.write_token_files(df.limit(0), P.path("byte_bpe_50k.json"), path + "-empty")
+    assert token_files.digests(token_files.read_token_files(spark, path + "-empty")).count() == 0
     start = 0
     rows = sorted(((1000 - k, t) for k, t in enumerate(texts)), key=lambda x: x[0])
     by = {r.doc_id: r for r in got}
@@ -232,6 +245,63 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(docs, toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))).collect()} == {0.0}
 
 
+def brute_features(text, model):
+    """The features of one text, word by word and term by term."""
+    white, one_lower = " \t\n\x0b\f\r", lambda c: y if len(y := c.lower()) == 1 else c
+    spans = [m.span() for m in regex.finditer(f"[^{white}]+", text or "")]
+    words = []
+    for a, b in spans:
+        inner = [k for k in range(a, b) if text[k].isalnum()]
+        a, b = (inner[0], inner[-1] + 1) if inner else (a, a)
+        words.append((a, b, "".join(map(one_lower, text[a:b]))))
+
+    def bucket(word):
+        raw = np.frombuffer(word.encode("utf-32-le"), np.uint8)
+        return int(span_hashes(raw, np.array([0]), np.array([len(raw)]))[0]) % toxicity.BUCKETS if word else 0
+
+    hits = []
+    for k, (a, b, word) in enumerate(words):
+        best = min(((d, j) for j, t in enumerate(model.terms) if abs(len(t) - len(word)) < 3 and (d := edit_distance(word, t)) <= toxicity.edits(t)), default=None)
+        if best and word:
+            lo, hi = max(0, k - toxicity.WINDOW), min(len(words), k + toxicity.WINDOW + 1)
+            near = [model.context[bucket(words[x][2])] for x in range(lo, hi) if x != k]
+            before, after = text[spans[lo][0] : a], text[b : spans[hi - 1][1]]
+            quoted = any(q in before for q in toxicity._QUOTES) and any(q in after for q in toxicity._QUOTES)
+            hits.append((model.weights[best[1], best[0]], np.mean(near) if near else 0.0, quoted))
+    if not hits:
+        return [1.0] + [0.0] * 6, 0
+    positive = sum(max(w, 0) for w, _, _ in hits)
+    plain = min(20, sum(w for w, _, q in hits if not q))
+    return [1.0, max(w for w, _, _ in hits), plain, math.log1p(positive), math.log1p(100 * positive / len(words)), np.mean([c for _, c, _ in hits]), np.mean([q for *_, q in hits])], len(hits)
+
+
+def test_toxicity_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    terms = ("cat", "grubble", "snotface", "worthless")
+    model = toxicity.Model(terms, rng.normal(size=(4, 3)), rng.normal(size=toxicity.BUCKETS), rng.normal(size=7))
+    pool = ["cat", "cats", "grubble", "Grubbel,", "gruble", '"snotface', "snotface\"", "SNOTFACES!", "wortless", "worthlss.", "«he", "said»", "--", "é", "中文", "İx", "the", "a", "\n", "of"]
+    texts = [None, "", " . ", "cat", *(" ".join(rng.choice(pool, int(rng.integers(1, 60)))) for _ in range(200))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in toxicity.score(df, model).collect()}
+    for k, t in enumerate(texts):
+        features, n = brute_features(t, model)
+        assert got[k].n_hits == n and got[k].score == pytest.approx(1 / (1 + math.exp(-float(np.dot(features, model.coefficients)))), abs=1e-9)
+    assert toxicity.score(df.limit(0), model).count() == 0
+    monkeypatch.setattr(toxicity, "MAX_CELLS", 10)  # an automaton that starts anew with each chunk gives the same
+    toxicity._automaton.cache_clear()
+    again = [x for hits in toxicity.find_hits(pa.array(texts, pa.string()), terms) for x in model.score(hits)]
+    assert again == pytest.approx([got[k].score for k in range(len(texts))])
+
+
+def test_lexicon_has_no_greatest_size(spark):
+    """Three hundred significant words are all in the lexicon."""
+    own = [f"zq{chr(97 + k % 26)}{chr(97 + k // 26)}word" for k in range(300)]
+    rows = [(k, " ".join(own) if k % 2 else "plain words only here") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    assert set(toxicity.train(docs, labels, F.lit(True)).terms) == set(own)
+
+
 def test_language_model(spark):
     rows = documents(9)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("training", F.lit("mine"))

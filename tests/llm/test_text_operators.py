@@ -67,11 +67,44 @@ def test_line_counts_are_reversible(spark, docs):
     assert rows(line_dedup.delete(whole, b, a)) == rows(line_dedup.line_counts(a))
 
 
+def test_index_is_reversible(spark, docs, monkeypatch):
+    """Inserting a batch and deleting it again leaves counts, filters and results as they were; each way agrees with brute force."""
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    a, b = docs.where("doc_id <= 5"), docs.where("doc_id > 5 OR doc_id IS NULL")
+    first = line_dedup.Index.of(a)
+    whole = first.insert(b)
+    back = whole.delete(b, a)
+    assert rows(back.counts) == rows(first.counts)
+    keys = [(r.hi, r.lo) for r in line_dedup.line_counts(docs).collect()]
+    hi, lo = np.array(keys).T
+
+    def passes(index):
+        filters = {r.shard: bytes(r.filter) for r in index.filters.collect()}
+        return line_dedup.ShardedFilter(index.shards, filters).contains(hi, lo)
+
+    common = lambda index: {(r.hi, r.lo) for r in index.common().collect()}
+    for index in (first, whole, back):
+        assert {k for k, p in zip(keys, passes(index), strict=True) if p} >= common(index)
+    assert (passes(back) == passes(first)).all()
+    for bound in (0, 500_000):
+        for index, df, odd in ((whole, docs, ODD), (back, a, [r for r in ODD if r[0] and r[0] <= 5])):
+            got = line_dedup.drop_common_lines(df, broadcast_keys=bound, index=index)
+            assert sorted([(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()], key=repr) == brute_lines(odd)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
+    tight = line_dedup.Index.of(a, min_docs=1).insert(b)  # more keys than the filters have room for: built anew
+    assert tight.shards > 1 and passes(tight)[[k in common(tight) for k in keys]].all()
+    got = line_dedup.drop_common_lines(docs, min_docs=1, broadcast_keys=0, index=tight)
+    assert sum(r.n_dropped for r in got.collect()) > 0
+
+
 def test_cuckoo_filter():
     keys = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000)
     f = line_dedup.CuckooFilter(len(keys))
     for k in keys:
         f.insert(int(k))
+    f.stash.append((3, 9))
+    f = line_dedup.CuckooFilter.from_bytes(f.to_bytes())
+    assert f.stash.pop() == (3, 9)
     assert f.contains(keys).all()
     others = np.random.default_rng(2).integers(-(1 << 62), 1 << 62, 20000)
     assert f.contains(others).mean() < 0.01
@@ -129,6 +162,52 @@ def test_quality(spark, docs, bound):
     assert quality.judge(docs).count() == len(ODD) and quality.judge(docs.limit(0)).count() == 0
 
 
+def brute_quality(rows):
+    """(doc_id, host) to (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_failed, kept), rule by rule."""
+    import re
+    import statistics
+
+    white = "[ \\t\\n\\x0b\\f\\r]+"
+    made, by = {}, {}
+    for i, text, host in rows:
+        host = m[1].lower() if host and (m := re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", host)) else host
+        w = [x for x in re.split(white, text or "") if x]
+        lines = [x for x in (text or "").split("\n") if re.sub(white, "", x)]
+        grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        count = Counter(grams)
+        covered = {k + j for k, g in enumerate(grams) if count[g] > 1 for j in range(5)}
+        n, chars, symbols = len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or "")
+        fails = (n < 10 or 100 * len(covered) > 20 * n, 10 * symbols > chars, 10 * (len(lines) - len(set(lines))) > 3 * len(lines), chars < 2 * n or chars > 12 * n)
+        made[i] = (host, n, chars, symbols, len(lines) - len(set(lines)), len(covered), fails)
+        by.setdefault(host, []).append(fails)
+    bad = set()
+    for k, limit in enumerate(quality.LIMITS.values()):
+        rates = [sum(f[k] for f in fails) / len(fails) for fails in by.values()]
+        m, v = statistics.mean(rates), statistics.variance(rates) if len(rates) > 1 else 0
+        weight = min(1000, max(m * (1 - m) / v - 1, 0)) if v > 0 else 1000
+        bad |= {h for h, fails in by.items() if (sum(f[k] for f in fails) + weight * m) / (len(fails) + weight) > limit}
+    return {i: (*x[1:6], x[6][0], x[0] in bad, not x[6][0] and x[0] not in bad) for i, x in made.items()}, bad
+
+
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_quality_hosts(spark, bound):
+    """A bad host takes its good documents with it; a host with one bad document is pulled back by the others."""
+    rng = np.random.default_rng(4)
+    good = lambda: " ".join(f"word{k}" for k in rng.integers(0, 10_000, 30))
+    rows = [(h * 100 + k, good() if rng.random() < 0.95 else "short", f"good{h}.org") for h in range(8) for k in range(40)]
+    rows += [(2000 + k, good() if k % 10 == 0 else "buy now " * 20, "HTTPS://user@Bad.example:8080/page?x#y") for k in range(50)]
+    rows += [(3000 + k, good() if k == 0 else "$$$ ### " * 12 + good(), "https://symbols.example/") for k in range(60)]
+    rows += [(4000, "short", "tiny.org"), (4001, good(), "tiny.org"), (4002, None, None), (4003, good(), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"host": F.lit("mine"), "_salt": F.lit("mine")})
+    wanted, bad = brute_quality(rows)
+    assert bad == {"bad.example", "symbols.example"} and wanted[2000][6:] == (True, False) and wanted[4001][7]
+    got = {r.doc_id: tuple(r)[2:] for r in quality.judge(df, broadcast_hosts=bound).collect()}
+    assert got == wanted
+    con = duckdb.connect()
+    con.register("documents", df.toPandas().astype(object).where(lambda x: x.notna(), None))
+    assert {r[0]: r[1:] for r in con.execute(quality.OP2_SQL).fetchall()} == {i: (*x[:6], x[7]) for i, x in wanted.items()}
+
+
 def test_language(spark, docs):
     words = {"en": "the and of with that this from have".split(), "de": "und der die nicht ein mit auf für".split()}
     rng = np.random.default_rng(5)
@@ -201,10 +280,15 @@ def test_every_language_has_a_prototype(spark, monkeypatch):
 
 
 def test_chat(spark):
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     rows = [(c, t, "system" if t == 0 and c % 2 else "user" if t % 2 else "assistant", f"<|im_start|> turn {t} <\\| " + "w " * (t * 37 % 300)) for c in range(6) for t in range(25)]
     rows += [(7, 0, None, None), (7, 1, "assistant", ""), (7, 1, "assistant", ""), (None, 0, "assistant", "<|im_end|>\n"), (8, 0, "a\nb\\<|", "x" * 5000)]
+    rows += [(9, t, "system" if t == 0 else "assistant", "s " * 300 if t == 0 else f"short {t}") for t in range(200)]
+    rows += [(10, t, "user", "中文沒有空格的長句子可以很長很長") for t in range(40)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit("mine"))
-    windows = chat.format_windows(df, budget=256, history=64)
+    windows = chat.format_windows(df, path, budget=256, history=64).cache()
     got = {r.conv_id: r for r in chat.read_back(windows).collect()}
     for c in {r[0] for r in rows}:
         own = sorted((r[1], r[2] or "", r[3] or "") for r in rows if r[0] == c)
@@ -215,4 +299,13 @@ def test_chat(spark):
     made = windows.where("conv_id = 1").orderBy("window").collect()
     assert len(made) > 3 and all(chat.parse(w.text)[0][0] == "system" for w in made)
     assert all(w.n_tokens <= 256 or w.last_turn == w.first_turn for w in made) and all(w.n_repeated >= 1 for w in made[1:])
-    assert chat.format_windows(df.limit(0)).count() == 0
+    library = Tokenizer.from_file(path)
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    for w in made:
+        parts = [p.removesuffix(chat.END).partition("\n") for p in w.text.split(chat.START)[1:]]
+        assert w.n_tokens == sum(count(role) + count(text) + chat.OVERHEAD for role, _, text in parts)
+    # a system turn over half the budget doesn't fill every window, and texts without spaces have their tokens
+    long = windows.where("conv_id = 9").orderBy("window").collect()
+    assert len(long) < 20 and sum(len(w.text) for w in long) < 20_000 and all(w.n_tokens <= 256 for w in long[1:])
+    assert windows.where("conv_id = 10").count() > 3
+    assert chat.format_windows(df.limit(0), path).count() == 0

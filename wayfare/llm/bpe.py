@@ -2,7 +2,7 @@
 
 1. Each task splits its texts into the pattern's matches and hands on its distinct words; Spark counts the tasks of each. Words
    of two tasks or more, the most widespread first and SHARED at most, are folded once and broadcast (24 bytes and
-   4 a token each).
+   4 a token each at most).
 2. The texts are split again. Words that are not in the broadcast table get numbers, and Spark folds them in their task:
    a word of one task is so folded once as well, and what lies beyond SHARED costs time, never a result.
 3. The documents' numbers become ids, and ids are decoded by concatenating the tokens' binary pieces.
@@ -32,10 +32,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, span_hashes
+from .common import chunks, cut, map_batches, span_hashes
 from .pieces import Known, numbered, split
 
-MAP_SLOTS, LONG, FOLD = 1 << 16, 256, 1024
+MAP_SLOTS, LONG, FOLD = 1 << 13, 256, 1024
 #: Words that are folded once for all tasks, at most: 24 bytes and 4 a token each.
 SHARED = 1_500_000
 #: Words that a task remembers; then it starts to number anew.
@@ -44,6 +44,8 @@ MEMORY = 2_000_000
 _FOLDS = 16_384
 _CHUNK = 1 << 18
 _NONE = 2147483647
+#: More than a word's places; beside a rank it makes a number of less than 64 bits.
+_PLACES = 1 << 20
 
 
 @functools.cache
@@ -71,7 +73,8 @@ def fold(word: Column, table: Column) -> Column:
     first = F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda i: _rank(table, F.substring(word, i, F.lit(2)).cast("binary")))
 
     def step(state: Column, _: Column) -> Column:
-        least = F.array_min(state["r"])
+        # rank and place in one number (array_position is slow)
+        least = F.array_min(F.transform(state["r"], lambda r, i: r.cast("long") * _PLACES + i))
 
         def join(k: Column) -> Column:  # k: the pair's place, from 1
             joined = F.concat(F.get(state["p"], k - 1), F.get(state["p"], k))
@@ -85,8 +88,10 @@ def fold(word: Column, table: Column) -> Column:
 
             return F.get(F.transform(F.array(joined), rebuilt), F.lit(0))
 
-        merged = F.get(F.transform(F.array(F.array_position(state["r"], least).cast("int")), join), F.lit(0))
-        return F.when(F.coalesce(least, F.lit(_NONE)) == _NONE, state).otherwise(merged)
+        def merged(m: Column) -> Column:
+            return F.when(F.coalesce(m, F.lit(_NONE * _PLACES)) >= _NONE * _PLACES, state).otherwise(join((m % _PLACES + 1).cast("int")))
+
+        return F.get(F.transform(F.array(least), merged), F.lit(0))
 
     many = F.aggregate(F.sequence(F.lit(2), F.length(word)), F.struct(one.alias("p"), first.alias("r")), step, lambda s: s["p"])
     pieces = F.when((F.length(word) == 1) | (_rank(table, word) != _NONE), F.array(word)).otherwise(many)
@@ -167,7 +172,7 @@ def _words(data: np.ndarray, offs: np.ndarray, path: str) -> tuple[np.ndarray, n
     return starts, ends, hashes, piece_offs
 
 
-def _distinct(path: str):
+def _distinct(path: str, memory: int):
     """The distinct words of a task, but those that only the heap can merge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +180,7 @@ def _distinct(path: str):
         for batch in batches:
             for _, _, data, offs in chunks(batch.column(0), _CHUNK):
                 starts, ends, hashes, _ = _words(data, offs, path)
-                if n > MEMORY:
+                if n > memory:
                     known.clear()
                     n = 0
                 new = []
@@ -198,9 +203,9 @@ def _bound(column, table: Column) -> Column:
     return F.get(F.transform(F.array(table), column), F.lit(0))
 
 
-def shared_words(docs: DataFrame, rank_file: str, table: Column, most: int = SHARED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, tokens by word, ids) of the words of two tasks or more, in ascending order of the hashes, `most` at most."""
-    seen = docs.select("text").mapInArrow(_distinct(rank_file), "word binary").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def shared_words(docs: DataFrame, rank_file: str, table: Column, most: int = SHARED, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, tokens by word, where they start in ids, ids) of the words of two tasks or more, in ascending order of the hashes, `most` at most."""
+    seen = docs.select("text").transform(map_batches, _distinct(rank_file, memory), "word binary").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     seen = cut(seen.where("n > 1").select("word", F.least("n", F.lit(4096)).alias("n")), "bpe-words")
     least, words = 1 << 30, 0
     for n, count in sorted((tuple(r) for r in seen.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True):
@@ -208,7 +213,7 @@ def shared_words(docs: DataFrame, rank_file: str, table: Column, most: int = SHA
             break
         least, words = n, words + count
     if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.uint32) for _ in range(3))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,17 +227,15 @@ def shared_words(docs: DataFrame, rank_file: str, table: Column, most: int = SHA
 
     # few words take long to fold, so they are dealt out by their number, not by their bytes
     chosen = seen.where(F.col("n") >= least).select("word").repartition(words // _FOLDS + 1)
-    rows = chosen.select("word", _bound(lambda t: fold(F.col("word"), t), table).alias("ids")).mapInArrow(pack, "keys binary, counts binary, ids binary").collect()
-    keys = np.frombuffer(b"".join(r["keys"] for r in rows), np.uint64)
-    counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.uint32)
-    ids = np.frombuffer(b"".join(r["ids"] for r in rows), np.uint32)
+    rows = chosen.select("word", _bound(lambda t: fold(F.col("word"), t), table).alias("ids")).transform(map_batches, pack, "keys binary, counts binary, ids binary").collect()
+    keys, counts, ids = (np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in (("keys", np.uint64), ("counts", np.uint32), ("ids", np.uint32)))
     order = np.argsort(keys)
-    store = _Store(np.uint32)
-    store.append(ids, counts)
-    return keys[order], counts[order], store.gather(order)[0]
+    starts = np.cumsum(counts) - counts
+    least = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    return keys[order], least(counts[order]), least(starts[order]), least(ids)
 
 
-def _split(path: str, shared):
+def _split(path: str, shared, memory: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = shared.value
         known = Known(keys, np.arange(len(keys)))
@@ -240,7 +243,7 @@ def _split(path: str, shared):
         for batch in batches:
             for at, to, data, offs in chunks(batch.column(1), _CHUNK):
                 starts, ends, hashes, piece_offs = _words(data, offs, path)
-                if n > MEMORY + len(keys):
+                if n > memory + len(keys):
                     known.clear()
                     n = len(keys)
                 base, new = n, []
@@ -278,25 +281,31 @@ def _room(array: np.ndarray, n: int) -> np.ndarray:
 
 
 class _Store:
-    """Flat values by number, with their offsets; slices of many numbers are gathered at once."""
+    """Flat values by number, with their starts and lengths; slices of many numbers are gathered at once."""
 
     def __init__(self, kind):
-        self.flat, self.offs, self.n = np.zeros(1 << 16, kind), np.zeros(1 << 12, np.int64), 0
+        self.flat, self.starts, self.lengths = np.zeros(1 << 16, kind), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.n = self.used = 0
 
     def reset(self, n: int) -> None:
-        self.n = n
-
-    def append(self, values: np.ndarray, lengths: np.ndarray) -> None:
-        used, n = int(self.offs[self.n]), self.n + len(lengths)
-        self.flat, self.offs = _room(self.flat, used + len(values)), _room(self.offs, n + 1)
-        self.flat[used : used + len(values)] = values
-        self.offs[self.n + 1 : n + 1] = used + np.cumsum(lengths)
-        self.n = n
+        """Forget all but the first n."""
+        if n < self.n:
+            self.used = int(self.starts[n])  # numbers after the given ones lie in order
+            self.n = n
+
+    def append(self, values: np.ndarray, lengths: np.ndarray, starts: np.ndarray | None = None) -> None:
+        """Values of the next numbers, one after the other if their starts are not given."""
+        n = self.n + len(lengths)
+        self.flat, self.starts, self.lengths = _room(self.flat, self.used + len(values)), _room(self.starts, n), _room(self.lengths, n)
+        self.flat[self.used : self.used + len(values)] = values
+        self.lengths[self.n : n] = lengths
+        self.starts[self.n : n] = self.used + (np.cumsum(lengths) - lengths if starts is None else starts)
+        self.n, self.used = n, self.used + len(values)
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lengths = self.offs[numbers + 1] - self.offs[numbers]
+        lengths = self.lengths[numbers].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        return self.flat[np.repeat(self.offs[numbers] - ends[:-1], lengths) + np.arange(ends[-1])], ends
+        return self.flat[np.repeat(self.starts[numbers] - ends[:-1], lengths) + np.arange(ends[-1])], ends
 
 
 @functools.lru_cache(maxsize=2)
@@ -314,7 +323,8 @@ def _tokens(path: str) -> "_Store":
 def _assemble(path: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, tokens = _Store(np.uint32), _tokens(path)
-        ids.append(shared.value[1], shared.value[0])
+        counts, starts, flat = shared.value
+        ids.append(flat, counts, starts)
         for batch in batches:
             for row in range(batch.num_rows):
                 ids.reset(batch.column(3)[row].as_py())
@@ -342,14 +352,14 @@ def _assemble(path: str, shared):
     return run
 
 
-def encode_and_decode(docs: DataFrame, rank_file: str, shared: int = SHARED) -> DataFrame:
+def encode_and_decode(docs: DataFrame, rank_file: str, shared: int = SHARED, memory: int = MEMORY) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers, binary) and decoded (binary) of each row of docs."""
     table = rank_map(load_ranks(rank_file))
-    keys, counts, ids = shared_words(docs, rank_file, table, shared)
+    keys, *words = shared_words(docs, rank_file, table, shared, memory)
     give = docs.sparkSession.sparkContext.broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_split(rank_file, give(keys)), "ids array<long>, offs binary, numbers binary, base long, words array<binary>, long array<binary>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_batches, _split(rank_file, give(keys), memory), "ids array<long>, offs binary, numbers binary, base long, words array<binary>, long array<binary>")
     folded = _bound(lambda t: F.transform("words", lambda w: F.when(w.isNotNull(), fold(w, t))), table)
-    return rows.select("ids", "offs", "numbers", "base", folded.alias("words"), "long").mapInArrow(_assemble(rank_file, give((counts, ids))), "doc_id long, n_tokens long, ids binary, decoded binary")
+    return rows.select("ids", "offs", "numbers", "base", folded.alias("words"), "long").transform(map_batches, _assemble(rank_file, give(tuple(words))), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def op8_higher_order_bpe(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ A conversation's turns stream through in order (one conversation is never held a
 choose spans that begin and end with a turn: a window takes turns while its sum fits the budget. Each window but the first
 begins with the conversation's system turn (if its first turn is one) and with as many of the last turns of the window
 before as fit `history` tokens. Repeated turns are context: their targets are masked, so that each assistant text lies under
-exactly one loss mask. A turn that is larger than what is left of a whole budget is a window of its own.
+exactly one loss mask. A turn that is larger than what is left of a whole budget is a window of its own. A system turn of
+more than half the budget is not repeated: it would fill every window. A turn's tokens are those of a tokenizers
+library file over its escaped text and its role, and OVERHEAD for the template's marks.
 
 The template is <|im_start|>ROLE\\nTEXT<|im_end|>\\n. A text's own "<|" gets a backslash between its two characters (and
 "<\\|" one more, and so on), which `unescape` takes back; line ends and backslashes of a role are escaped too. A row of
@@ -12,7 +14,8 @@ the output is a window: conv_id, window, first_turn and last_turn (places in the
 its start), n_tokens, text, and spans, the [start, end) places in code points of text that bear loss.
 
 Defined results: null texts and roles are empty; turns with equal numbers go by role, then text, nulls first; repeated
-rows are turns of their own; a null conv_id is a conversation; an empty table has no windows.
+rows are turns of their own; a null conv_id is a conversation; an empty table has no windows; other columns are ignored;
+conv_id is cast to long.
 """
 
 from __future__ import annotations
@@ -21,13 +24,18 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import chunks, map_batches
+from .token_files import _encoder
 
 BUDGET, HISTORY = 512, 128
-#: Tokens that the template adds to a turn.
-OVERHEAD = 4
+#: Tokens that the template adds to a turn: its two marks and a line end.
+OVERHEAD = 3
 START, END = "<|im_start|>", "<|im_end|>\n"
 _OPEN, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
@@ -84,7 +92,7 @@ class _Conversation:
                 self.context.pop(1 if self.system else 0)
             self.sum = sum(t[2] for t in self.context)
         turn = (role, text, tokens)
-        if self.n == 0 and role == "system":
+        if self.n == 0 and role == "system" and tokens <= self.budget // 2:
             self.system = turn
         self.open.append(turn)
         self.sum += tokens
@@ -110,12 +118,26 @@ _ARROW = [pa.int64()] * 6 + [pa.string(), pa.list_(pa.struct([("from", pa.int64(
 _NAMES = ["conv_id", "window", "first_turn", "last_turn", "n_repeated", "n_tokens", "text", "spans"]
 
 
-def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """The windows of all conversations (conv_id, turn, role, text). A turn's tokens are its words and the template's."""
-    text = F.coalesce("text", F.lit(""))
-    tokens = F.size(F.split(F.trim(F.regexp_replace(text, "[ \\t\\n\\x0B\\f\\r]+", " ")), " ")) + OVERHEAD
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), tokens.alias("n"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
+def turn_tokens(turns: DataFrame, tokenizer_file: str) -> DataFrame:
+    """turns (conv_id, turn, role, text) with n, their tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(tokenizer_file)
+        for batch in batches:
+            n = np.full(batch.num_rows, OVERHEAD - 2)  # less the ends that the encoder adds
+            for k in (2, 3):
+                column = pa.array([escape(t) if "|" in t else t for t in batch.column(k).to_pylist()], pa.string())
+                for at, to, data, offs in chunks(column):
+                    n[at:to] += encoder.encode(data, offs)[1]
+            yield pa.record_batch([*batch.columns, pa.array(n, pa.int64())], ["conv_id", "turn", "role", "text", "n"])
+
+    return turns.transform(map_batches, run, T.StructType([*turns.schema.fields, T.StructField("n", T.LongType())]))
+
+
+def format_windows(conversations: DataFrame, tokenizer_file: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """The windows of all conversations (conv_id, turn, role, text)."""
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = turn_tokens(rows, tokenizer_file).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Conversation | None = None
@@ -142,7 +164,7 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
         if out:
             yield ready()
 
-    return rows.mapInArrow(run, _SCHEMA)
+    return rows.transform(map_batches, run, _SCHEMA)
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -179,13 +201,15 @@ def read_back(windows: DataFrame) -> DataFrame:
         if state:
             yield pa.record_batch([pa.array([x], kind) for x, kind in zip(row(), kinds, strict=True)], names)
 
-    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
+    return rows.transform(map_batches, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
 
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
 def op3_budgeted_chat_windows(spark, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], rows.schema)
-    return read_back(format_windows(rows.unionByName(probe)))
+    return read_back(format_windows(rows.unionByName(probe), public_tokenizers.path("byte_bpe_50k.json")))

@@ -6,6 +6,9 @@ CHUNK bytes of text or one document, whichever is larger, and never by a batch o
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import uuid
 
 import numpy as np
@@ -13,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK = 1 << 20
+#: Bytes of an Arrow batch (or one row): what a task holds of its input at once, in the JVM and in Python.
+BATCH_BYTES = 4 << 20
 #: Documents of a chunk at most; the kernels pack a document's number into 12 bits.
 CHUNK_DOCS = 4096
 
@@ -59,6 +64,28 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow in small batches, by workers that give memory back when a task ends."""
+    conf = df.sparkSession.conf
+    if _bytes(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m")) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return df.mapInArrow(tidy, schema)
+
+
+def _bytes(text: str) -> int:
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", text.strip().lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
 def crc_mod(column, n: int):
     """crc32 of the id as text, modulo n (a null id counts as empty text)."""
     from pyspark.sql import functions as F

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, doc_numbers, mix, words
+from .common import chunks, doc_numbers, map_batches, mix, words
 
 WINDOW, MIN_WORDS = 16, 5
 #: Bytes of benchmark text that one broadcast holds. A larger benchmark goes in blocks, each with its own pass over the documents.
@@ -143,7 +143,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rest = [pa.array([r[c] for r in rows], pa.int64()) for c in (2, 3, 4)]
                 yield pa.record_batch([ids, pa.array([r[1] for r in rows], _arrow(kind)), *rest], ["doc_id", "item_id", "doc_word", "n_agree", "n_compared"])
 
-        found = docs.select("doc_id", "text").mapInArrow(run, schema)
+        found = docs.select("doc_id", "text").transform(map_batches, run, schema)
         out = out.unionByName(found) if k else found
     return out
 
@@ -165,7 +165,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep[[r[0] for r in _scan(block.value, batch.column(at))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.transform(map_batches, run, docs.schema)
     return docs
 
 

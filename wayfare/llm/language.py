@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, crc_mod
+from .common import chunks, crc_mod, map_batches
 
 DIM, CLASSES, TRAIN_DOCS = 512, 64, 3000
 STRETCH, BLOCK = 1 << 19, 8192
@@ -142,7 +142,7 @@ def train(docs: DataFrame, training: Column, most: int = TRAIN_DOCS) -> tuple[li
         for lang, v in sums.items():
             yield pa.record_batch([pa.array([lang] * DIM), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(v)], ["lang", "k", "v"])
 
-    sums = chosen.mapInArrow(bundle, "lang string, k int, v double").groupBy("lang", "k").agg(F.sum("v").alias("v"))
+    sums = chosen.transform(map_batches, bundle, "lang string, k int, v double").groupBy("lang", "k").agg(F.sum("v").alias("v"))
     found: dict[str, np.ndarray] = {}
     for lang, k, v in sums.collect():
         found.setdefault(lang, np.zeros(DIM))[k] = round(v, 9)
@@ -180,7 +180,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], names_of: tup
                 best, score, cosine = scores(document_vectors(data, offs), names, prototypes)
                 yield pa.record_batch([*(c.slice(at, to - at) for c in batch.columns[: len(keep)]), pa.array([words[k] for k in best], pa.string()), pa.array(score), pa.array(cosine)], [*keep, *names_of])
 
-    return docs.select(*sent).mapInArrow(run, out)
+    return docs.select(*sent).transform(map_batches, run, out)
 
 
 def op6_hyperdimensional_language_id(spark, sf_dir: str) -> DataFrame:

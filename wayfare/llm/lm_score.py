@@ -28,11 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, cut, mix, words
+from .common import chunks, crc_mod, cut, map_batches, mix, words
 
 CONTAINER = 8 << 20
-#: Shards are 2 to the power of these many bits: about as many as there are containers, so that a shard's arrays stay small.
-LEAST_BITS, MOST_BITS = 6, 14
+#: Shards are 2 to the power of some number of bits: about as many as there are containers, so that a shard's arrays stay small.
+LEAST_BITS = 6
 FILTER_BYTES, BITS, PROBES = 32 << 20, 9, 4
 #: Pairs that a shard looks up at a time.
 LOOK = 1 << 20
@@ -67,7 +67,7 @@ def pack(docs: DataFrame, training: Column) -> DataFrame:
         if held:
             yield row()
 
-    return rows.mapInArrow(run, "chunk long, doc_ids array<long>, training array<boolean>, offs binary, body binary")
+    return rows.transform(map_batches, run, "chunk long, doc_ids array<long>, training array<boolean>, offs binary, body binary")
 
 
 _NAMES = ["chunk", "doc_ids", "training", "offs", "body"]
@@ -101,7 +101,9 @@ def _pairs(before: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def shard_bits(containers: DataFrame) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1, containers.count()))))))
+    """Bits of a shard's number. A container has a row for each shard that its words fall into, so at most one for each of its
+    words, however many shards there are; a pair's key has _PAIR_BITS bits beside these."""
+    return min(64 - _PAIR_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1, containers.count()))))))
 
 
 def _shards(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -121,7 +123,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Reco
             keys, places = np.unique(hashes, return_inverse=True)
             counts = np.bincount(places[_in_training(row["training"], offs)], minlength=len(keys)).astype(np.uint32)
             ends = _shards(keys, bits)
-            own = [s for s in range(1 << bits) if ends[s + 1] > ends[s]]
+            own = np.flatnonzero(np.diff(ends))
             cuts = [slice(ends[s], ends[s + 1]) for s in own]
             yield pa.record_batch([pa.array(own, pa.int32()), pa.array([row["chunk"]] * len(own), pa.int64()), pa.array([keys[c].tobytes() for c in cuts], pa.binary()), pa.array([counts[c].tobytes() for c in cuts], pa.binary())], ["shard", "chunk", "keys", "counts"])
 
@@ -136,7 +138,7 @@ def _pair_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Reco
             counts = np.bincount(places[_in_training(row["training"], offs)], minlength=len(keys))
             ends = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(_PAIR_BITS))
             short = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _PAIR_BITS // 8]
-            own = [s for s in range(1 << bits) if ends[s + 1] > ends[s]]
+            own = np.flatnonzero(np.diff(ends))
             # columns of bytes: the high ones of sorted keys compress well
             yield pa.record_batch(
                 [pa.array(own, pa.int32()), pa.array([row["chunk"]] * len(own), pa.int64()), pa.array([short[ends[s] : ends[s + 1]].T.tobytes() for s in own], pa.binary()), pa.array([zstandard.compress(counts[ends[s] : ends[s + 1]].astype(np.uint32).tobytes(), 1) for s in own], pa.binary())],
@@ -195,8 +197,8 @@ def vocabulary(containers: DataFrame, bits: int) -> DataFrame:
         values = [shard, keys.tobytes(), counts.tobytes(), int(counts.sum()), len(keys)]
         return pa.record_batch([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["shard", "keys", "counts", "n_tokens", "n_words"])
 
-    rows = containers.mapInArrow(lambda batches: _word_rows(batches, bits), "shard int, chunk long, keys binary, counts binary").repartition("shard").sortWithinPartitions("shard")
-    return rows.mapInArrow(lambda batches: _by_shard(batches, read, done), "shard int, keys binary, counts binary, n_tokens long, n_words long")
+    rows = containers.transform(map_batches, lambda batches: _word_rows(batches, bits), "shard int, chunk long, keys binary, counts binary").repartition("shard").sortWithinPartitions("shard")
+    return rows.transform(map_batches, lambda batches: _by_shard(batches, read, done), "shard int, keys binary, counts binary, n_tokens long, n_words long")
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -304,13 +306,13 @@ def _pair_answers(containers: DataFrame, bits: int) -> DataFrame:
                 held.append((row["chunk"], row["keys"]))
         yield from answers()
 
-    rows = containers.mapInArrow(lambda batches: _pair_rows(batches, bits), "shard int, chunk long, keys binary, counts binary").repartition("shard").sortWithinPartitions("shard")
-    return rows.mapInArrow(run, "chunk long, shard int, counts binary")
+    rows = containers.transform(map_batches, lambda batches: _pair_rows(batches, bits), "shard int, chunk long, keys binary, counts binary").repartition("shard").sortWithinPartitions("shard")
+    return rows.transform(map_batches, run, "chunk long, shard int, counts binary")
 
 
 def _answers(containers: DataFrame, vocab: DataFrame, bits: int) -> DataFrame:
     """(chunk, shard, counts): for each container and shard, the counts of its words, in the order of their hashes."""
-    asked = containers.mapInArrow(lambda batches: _word_rows(batches, bits), "shard int, chunk long, keys binary, counts binary").select("shard", "chunk", "keys", F.lit(None).cast("binary").alias("counts"))
+    asked = containers.transform(map_batches, lambda batches: _word_rows(batches, bits), "shard int, chunk long, keys binary, counts binary").select("shard", "chunk", "keys", F.lit(None).cast("binary").alias("counts"))
     known = vocab.select("shard", F.lit(-1).cast("long").alias("chunk"), "keys", "counts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +330,7 @@ def _answers(containers: DataFrame, vocab: DataFrame, bits: int) -> DataFrame:
                 yield pa.record_batch([pa.array([row["chunk"]]), pa.array([shard], pa.int32()), pa.array([found.astype(np.uint64).tobytes()], pa.binary())], ["chunk", "shard", "counts"])
 
     rows = known.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "chunk")
-    return rows.mapInArrow(run, "chunk long, shard int, counts binary")
+    return rows.transform(map_batches, run, "chunk long, shard int, counts binary")
 
 
 def score(docs: DataFrame, training: Column) -> DataFrame:
@@ -373,7 +375,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
                 yield pa.record_batch(columns, ["doc_id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     rows = told.unionByName(whole).repartition("chunk").sortWithinPartitions("chunk", "shard")
-    return rows.mapInArrow(run, "doc_id long, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.transform(map_batches, run, "doc_id long, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op10_log_frequency_bloom_lm(spark, sf_dir: str) -> DataFrame:

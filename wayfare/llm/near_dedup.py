@@ -17,7 +17,8 @@ first filled bucket in a fixed random order of the bucket's own, so that the ord
    that could join two components is lost, and a group of n near copies costs about 2n comparisons, not n squared.
 
 Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case. Defined results: documents without words have an empty set and are
-linked with nothing; rows that share a doc_id are one document; rows with a null doc_id are linked with nothing and kept
+linked with nothing; rows that share a doc_id are one document, whose set is
+the one of least size and digest, and each states the size of its own set; rows with a null doc_id are linked with nothing and kept
 with a null component; an empty table gives an empty table.
 """
 
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, doc_numbers, grams, mix, words
+from .common import chunks, cut, doc_numbers, grams, map_batches, mix, words
 from .components import components, joined_components
 
 REGISTERS, MANTISSA, BANDS, ROWS = 512, 10, 64, 7
@@ -119,14 +120,14 @@ def _sketch(shingle: int):
                 for lo in range(0, to - at, 512):
                     hi = min(lo + 512, to - at)
                     own, offs_ = values[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]
-                    digest = [np.add.reduceat(np.append(mix(own, s), np.uint64(0)), offs_[:-1]) * (sizes[lo:hi] > 0).astype(np.uint64) for s in (11, 12)]
+                    digest = _digests(own, offs_)
                     regs = registers(own, offs_)
                     bands = band_hashes(regs)
                     yield pa.record_batch(
                         [
                             batch.column(0).slice(at + lo, hi - lo),
                             pa.array(sizes[lo:hi], pa.int64()),
-                            *(pa.array(d.view(np.int64), pa.int64()) for d in digest),
+                            *(pa.array(d, pa.int64()) for d in digest),
                             pa.array([r.tobytes() for r in regs], pa.binary()),
                             pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * BANDS, pa.int32()), pa.array(bands.ravel(), pa.int64())),
                         ],
@@ -136,17 +137,28 @@ def _sketch(shingle: int):
     return run
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, name: str) -> DataFrame:
-    """(id, set): the full set of each wanted id, as a binary of its 64-bit values."""
+def _digests(values: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums over each document's set."""
+    filled = (np.diff(offs) > 0).astype(np.uint64)
+    return [(np.add.reduceat(np.append(mix(values, s), np.uint64(0)), offs[:-1]) * filled).view(np.int64) for s in (11, 12)]
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, name: str, chosen: DataFrame | None) -> DataFrame:
+    """(id, set): the full set of each wanted id, as a binary of its 64-bit values; `chosen` (id, n, d1, d2) are ids with several texts."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, offs in chunks(batch.column(1)):
                 values, ends = shingle_sets(data, offs, shingle)
-                yield pa.record_batch([batch.column(0).slice(at, to - at), pa.array([values[ends[k] : ends[k + 1]].tobytes() for k in range(to - at)], pa.binary())], ["id", "set"])
+                digests = [pa.array(d, pa.int64()) for d in _digests(values, ends)]
+                yield pa.record_batch([batch.column(0).slice(at, to - at), pa.array([values[ends[k] : ends[k + 1]].tobytes() for k in range(to - at)], pa.binary()), *digests], ["id", "set", "s1", "s2"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    return cut(rows.mapInArrow(full, "id long, set binary"), name)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
+    schema = "id long, set binary, s1 long, s2 long"
+    if chosen is None:
+        return cut(rows.dropDuplicates(["id"]).transform(map_batches, full, schema).select("id", "set"), name)
+    rows = rows.transform(map_batches, full, schema).join(chosen, "id", "left").where("d1 IS NULL OR (d1 = s1 AND d2 = s2)")
+    return cut(rows.dropDuplicates(["id"]).select("id", "set"), name)
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int, name: str) -> DataFrame:
@@ -165,7 +177,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int, name: str) -> D
                 possible = 100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)
                 yield batch.select([0, 1]).filter(pa.array(possible & (guess >= low - 5 * error)))
 
-    return cut(pairs.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(near, "a long, b long"), name)
+    return cut(pairs.select("a", "b", "ra", "rb", "na", "nb").transform(map_batches, near, "a long, b long"), name)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -183,7 +195,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(same, "a long, b long")
+    return pairs.select("a", "b", "sa", "sb").transform(map_batches, same, "a long, b long")
 
 
 def _frequencies(sets: DataFrame) -> np.ndarray:
@@ -209,7 +221,7 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
             yield pa.record_batch([pa.array([block], pa.int32()), pa.array([total.astype(np.uint8).tobytes()], pa.binary())], ["block", "counts"])
 
     out = np.zeros((COUNTER_BLOCKS, size), np.uint8)
-    for block, counts in sets.select("set").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary").collect():
+    for block, counts in sets.select("set").transform(map_batches, count, "block int, counts binary").repartition("block").transform(map_batches, add, "block int, counts binary").collect():
         out[block] = np.frombuffer(counts, np.uint8)
     return out.ravel()
 
@@ -233,7 +245,7 @@ def _prefix_pairs(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame
                 found.append(values[first[at]])
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(places, pa.int64()), pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))], ["id", "n", "place", "key"])
 
-    rows = sets.mapInArrow(prefixes, "id long, n long, place long, key long").join(placed, "id")
+    rows = sets.transform(map_batches, prefixes, "id long, n long, place long, key long").join(placed, "id")
     x, y = (rows.select("key", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("place").alias(f"p{c}"), F.col("component").alias(f"c{c}")) for c in "ab")
     # nothing before the first shared shingle is shared, so the places bound the overlap
     possible = f"{100 + percent} * least(na - pa, nb - pb) >= {percent} * (na + nb)"
@@ -243,7 +255,17 @@ def _prefix_pairs(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, class_id (least id of equal sets), component_id, kept."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sk = cut(own.mapInArrow(_sketch(shingle), "id long, n_shingles long, d1 long, d2 long, regs binary, bands array<long>"), "sketches")
+    sk = cut(own.transform(map_batches, _sketch(shingle), "id long, n_shingles long, d1 long, d2 long, regs binary, bands array<long>"), "sketches")
+    # ids with several texts: a set is chosen, the other rows follow it
+    chosen = sk.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("n_shingles", "d1", "d2")).alias("lo"), F.max(F.struct("n_shingles", "d1", "d2")).alias("hi")).where("lo <> hi").select("id", F.col("lo.n_shingles").alias("n"), "lo.d1", "lo.d2")
+    chosen = cut(chosen, "several-texts")
+    others = None
+    if chosen.isEmpty():
+        chosen = None
+    else:
+        marked = sk.alias("s").join(chosen.alias("c"), "id", "left").withColumn("_own", F.expr("c.d1 IS NULL OR (c.n = s.n_shingles AND c.d1 = s.d1 AND c.d2 = s.d2)")).select("s.*", "_own")
+        rows, others = marked.where("_own").drop("_own"), marked.where("NOT _own").select("id", "n_shingles")
+        sk = cut(rows, "chosen-sketches")
     full = sk.where("n_shingles > 0 AND id IS NOT NULL")
     classes = cut(full.groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("class_id")), "classes")
     reps = classes.select(F.col("class_id").alias("id"))
@@ -257,20 +279,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     near_sk = cut(sk.select("id", "n_shingles", "regs").join(ids, "id", "left_semi"), "near-sketches")
     near = cut(own.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), "near-texts")
     likely = _likely(pairs, near_sk, percent, "likely")
-    sets = _sets(near, likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), shingle, "sets")
+    sets = _sets(near, likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), shingle, "sets", chosen)
     found = components(cut(_confirmed(likely, sets, percent), "links"))
     placed = shared.select("band", "id").join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     # what is left: documents of buckets in which two components meet
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
     left = cut(placed.join(mixed, "band", "left_semi").select("id", "component").distinct(), "mixed")
-    sets = _sets(near, left.select("id"), shingle, "mixed-sets")
+    sets = _sets(near, left.select("id"), shingle, "mixed-sets", chosen)
     across = _prefix_pairs(sets, left, percent).join(pairs, ["a", "b"], "left_anti")
     more = _confirmed(_likely(cut(across, "across"), near_sk, percent, "across-likely"), sets, percent)
     found = joined_components(found, cut(more, "links-across"))
     member = full.select("id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"]).select("id", "n_shingles", "class_id")
     member = member.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     rest = sk.where("n_shingles = 0 OR id IS NULL").select("id", "n_shingles", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
-    return member.unionByName(rest).select(F.col("id").alias("doc_id"), "n_shingles", "class_id", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    member = member.unionByName(rest)
+    if others is not None:
+        member = member.unionByName(others.join(member.select("id", "class_id", "component_id").distinct(), "id").select(*member.columns))
+    return member.select(F.col("id").alias("doc_id"), "n_shingles", "class_id", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

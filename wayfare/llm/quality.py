@@ -3,7 +3,8 @@
 `measure` counts, by document, what the rules look at. `host_rates` adds up by host (the source) how many documents fail
 each rule and shrinks each rate towards the mean of all hosts with an empirical beta prior: by the method of moments over
 hosts, mean m and variance v give the prior weight w = m(1 - m)/v - 1, and the shrunk rate is (failures + w m)/(n + w). A
-host fails if the shrunk rate of a rule exceeds that rule's limit; `judge` joins the verdicts back to the documents.
+host fails if the shrunk rate of a rule exceeds that rule's limit; `judge` joins the verdicts back to the documents. A
+column of hosts or of URLs will do (`host_of`).
 
 Words are [^\\x20\\x09-\\x0D]+. Defined results: null and empty texts have no words and fail; null hosts are one host;
 repeated rows count each; with one host only, or hosts of equal rates, the prior has the weight MAX_WEIGHT; an empty table
@@ -25,6 +26,12 @@ BROADCAST_HOSTS, SALTS = 100_000, 16
 _SPACE = " \\t\\n\\x0B\\f\\r"
 
 
+def host_of(address: Column) -> Column:
+    """The host of a URL, in lower case; what is no URL is a host of its own."""
+    host = F.lower(F.regexp_extract(address, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    return F.when(host != "", host).otherwise(address)
+
+
 def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
     """keep, then n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines of each row's whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -76,7 +83,7 @@ def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
 
 def judge(docs: DataFrame, host: str = "source", broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """doc_id, host, the counts, base_failed, host_failed and kept."""
-    measured = cut(measure(docs.select("doc_id", F.col(host).alias("_host"), "text"), ["doc_id", "_host"]), "measured")
+    measured = cut(measure(docs.select("doc_id", host_of(F.col(host)).alias("_host"), "text"), ["doc_id", "_host"]), "measured")
     verdicts = host_rates(measured, "_host").select("host", "host_failed")
     if verdicts.count() <= broadcast_hosts:
         joined = measured.join(F.broadcast(verdicts), F.col("_host").eqNullSafe(F.col("host")), "left")
@@ -94,7 +101,7 @@ def op2_host_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-WITH w AS (SELECT doc_id, source, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws,
+WITH w AS (SELECT doc_id, coalesce(nullif(lower(regexp_extract(source, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), ''), source) AS source, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) AS ls FROM documents),
 g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+3] || ' ' || ws[i+4] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),

@@ -11,16 +11,20 @@ of about BLOCK_TOKENS tokens (more only if one document has more) and describes
     "\\n" (the record separator of the sink)
 
 Ranks are by block, so that a file is written in one pass and read on its own. Documents get an end token each. Files go
-through Spark's own text sink and binaryFile source, so any store that Spark reads will do. The decoder looks the control
-bytes up in a table of four lengths each and gathers the data with numpy.
+through Spark's own text sink and binaryFile source, so any store that Spark reads will do; a file has FILE_BLOCKS blocks at
+most (some 100 MB), since that source holds a file at a time. The decoder looks the control bytes up in a table of four
+lengths each and gathers the data with numpy. The tokenizer's special tokens inside a text are ordinary text, as its
+description asks (encode_special_tokens).
 
-Defined results: null and empty texts hold the end token only; repeated rows follow each other; null doc_ids come first.
+Defined results: null and empty texts hold the end token only; repeated rows follow each other; null doc_ids come first;
+an empty table gives files without a block; other columns are ignored; doc_id is cast to long.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 from collections.abc import Iterator
 
@@ -30,14 +34,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _Store
-from .common import chunks, cut, new_path
+from .common import CHUNK, chunks, cut, map_batches, new_path
 from .pieces import Known, numbered, split
 
-BLOCK_TOKENS, END = 1 << 20, 0
+BLOCK_TOKENS, FILE_BLOCKS, END = 1 << 20, 32, 0
 #: Distinct pieces whose ids a worker remembers.
 MEMORY = 2_000_000
 _HEAD = struct.Struct("<4sIIQQ")
 _NULL = np.iinfo(np.int64).min
+#: What Spark's writers call a task's files.
+_NAME = re.compile(r"/part-(\d+)-[^/]*-c(\d+)[^/]*$")
 #: Lengths of the four tokens of a control byte.
 _LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8)
 
@@ -125,7 +131,7 @@ def _encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
-def write_token_files(docs: DataFrame, tokenizer_file: str, path: str) -> None:
+def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, block_tokens: int = BLOCK_TOKENS, file_blocks: int = FILE_BLOCKS) -> None:
     """Write the whole texts of docs (doc_id, text) as token files under path; the shuffle is by ranges of doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,11 +144,11 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str) -> None:
 
         for batch in batches:
             ids = batch.column(0).fill_null(_NULL).to_numpy()
-            for at, to, data, offs in chunks(batch.column(1)):
+            for at, to, data, offs in chunks(batch.column(1), min(CHUNK, 4 * block_tokens)):
                 flat, counts = encoder.encode(data, offs)
                 held.append((ids[at:to], counts, flat))
                 n += len(flat)
-                if n >= BLOCK_TOKENS:
+                if n >= block_tokens:
                     yield block()
                     held, n = [], 0
         if held:
@@ -150,17 +156,18 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str) -> None:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     # a string column carries the bytes to the sink as they are
-    rows.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    rows.transform(map_batches, run, "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", file_blocks).text(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:
-    """(file, row, doc_id, n_tokens, ids) from token files; file and row give the order, ids are little-endian u32, binary."""
+    """(file, row, doc_id, n_tokens, ids) from token files; file (the task's number, then the file's in its task) and row give the order, ids are little-endian u32, binary."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                number, row = int(name.rpartition("/part-")[2].split("-")[0]), 0
+                task, part = _NAME.search(name).groups()
+                number, row = (int(task) << 32) + int(part), 0
                 for doc_ids, counts, ids in decode_blocks(memoryview(content.as_buffer())):
                     ends = np.concatenate([[0], np.cumsum(counts)])
                     for lo in range(0, len(doc_ids), 256):
@@ -177,7 +184,7 @@ def read_token_files(spark, path: str) -> DataFrame:
                         )
                     row += len(doc_ids)
 
-    return files.mapInArrow(run, "file long, row long, doc_id long, n_tokens long, ids binary")
+    return files.transform(map_batches, run, "file long, row long, doc_id long, n_tokens long, ids binary")
 
 
 def digests(read: DataFrame) -> DataFrame:

@@ -5,31 +5,33 @@ the terms is intersected with Levenshtein automata (one edit from four letters o
 are sets of (trie node, edits), made deterministic when first met, and all words of a chunk run through the table at once. Each
 hit gets a weight for its term and number of edits, and a score for its context: learnt weights of the words within
 WINDOW words, and whether it stands in quotation marks, which separates quotation from abuse. A logistic regression
-over the sums by document gives the score.
+over the sums by document gives the score. Every hit counts, also one that speaks against toxicity.
 
 Learning uses at most about SAMPLE labelled documents of each class, chosen by a hash of the id, of those for which `training` holds.
-Inputs of a score are texts only. Defined results: null, empty and word-less texts get the score of a document without
-hits; a document labelled twice counts twice; labels other than 0 and 1, and null ones, are left out; without both classes in
-training every score is 0; extra columns are ignored.
+The lexicon has every word of that sample that passes the test, so the sample bounds it. Inputs of a score are texts only.
+Defined results: null, empty and word-less texts get the score of a document without hits; a document labelled twice
+counts twice; labels other than 0 and 1, and null ones, are left out; without both classes in training (an empty
+table, say) every score is 0; an empty table of documents gives an empty table; repeated rows give a row each; extra
+columns are ignored; doc_id is cast to long.
 """
 
 from __future__ import annotations
 
 import functools
 import math
-import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _spans, chunks, crc_mod, cut
+from .common import _spans, chunks, crc_mod, cut, map_batches, span_hashes
 
-SAMPLE, TERMS, WINDOW, BUCKETS = 8000, 256, 4, 4096
-#: States that a worker's automaton may hold before it starts anew.
-MAX_STATES = 100_000
+SAMPLE, WINDOW, BUCKETS = 8000, 4, 4096
+#: Cells of a worker's automaton (4 bytes each) at which it starts anew with the next chunk.
+MAX_CELLS = 1 << 23
 _QUOTES = "\"'“”„«»‘’‹›`"
 _BEFORE_AFTER = "[^\\p{L}\\p{N}]+"
 
@@ -60,7 +62,7 @@ class Automaton:
                 at = self.children[at][self.kind[c]]
             self.ends[at] = k
             self.budget[at] = max(self.budget[at], edits(t))
-        self.classes = np.zeros(0x110000, np.uint8)
+        self.classes = np.zeros(0x110000, np.uint16)
         for c, k in self.kind.items():
             self.classes[ord(c)] = k
         self.longest = max((len(t) + edits(t) for t in terms), default=0)
@@ -70,9 +72,9 @@ class Automaton:
     def _start(self) -> None:
         self.sets: list[tuple] = [()]
         self.numbers: dict[tuple, int] = {(): 0}
-        self.table = np.full((1024, len(self.kind) + 1), -1, np.int32)
+        self.table = np.full((256, len(self.kind) + 1), -1, np.int32)
         self.table[0] = 0
-        self.accept = np.full((1024, 2), -1, np.int32)
+        self.accept = np.full((256, 2), -1, np.int32)
         self.first = self._number({0: 0})
 
     def _number(self, states: dict[int, int]) -> int:
@@ -111,7 +113,7 @@ class Automaton:
 
     def run(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word numbers, term, edits) of the words (spans of lower-case code points) that match."""
-        if len(self.sets) > MAX_STATES:
+        if self.table.size > MAX_CELLS:
             self._start()
         lengths = ends - starts
         live = np.flatnonzero((lengths >= self.shortest) & (lengths <= self.longest))
@@ -159,13 +161,34 @@ def _automaton(terms: tuple[str, ...]) -> Automaton:
     return Automaton([*terms])
 
 
-def find_hits(column: pa.Array, terms: tuple[str, ...], useful: np.ndarray | None = None) -> Iterator[tuple[int, int, list[tuple]]]:
-    """(row, words, [(term, edits, context buckets, quoted)]) for every row of a column of texts; only hits of `useful` terms and edits, if given."""
+class Hits(NamedTuple):
+    """All hits of a chunk of texts, in order: arrays by hit, but n_words (by text) and bucket (by word)."""
+
+    first: int  # the chunk's first text
+    n_words: np.ndarray
+    doc: np.ndarray
+    term: np.ndarray
+    cost: np.ndarray  # edits
+    word: np.ndarray
+    lo: np.ndarray  # the words of the context: [lo, hi) without the hit
+    hi: np.ndarray
+    quoted: np.ndarray
+    bucket: np.ndarray  # 0 outside of all contexts
+
+
+@functools.cache
+def _quote_table() -> np.ndarray:
+    out = np.zeros(0x110000, bool)
+    out[[ord(c) for c in _QUOTES]] = True
+    return out
+
+
+def find_hits(column: pa.Array, terms: tuple[str, ...]) -> Iterator[Hits]:
+    """The hits of all rows of a column of texts, a chunk at a time."""
     low, inner, white = _points()
     automaton = _automaton(terms)
     for at, to, data, offs in chunks(column):
-        raw = data.tobytes()
-        points = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
         borders = offs if len(points) == len(data) else np.searchsorted(np.flatnonzero((data & 0xC0) != 0x80), offs)
         starts, ends = _spans(~white[points], borders)
         word_offs = np.searchsorted(starts, borders)
@@ -176,25 +199,19 @@ def find_hits(column: pa.Array, terms: tuple[str, ...], useful: np.ndarray | Non
         s = np.where(full, marks[np.minimum(a, max(len(marks) - 1, 0))] if len(marks) else starts, starts)
         e = np.where(full, marks[np.maximum(b - 1, 0)] + 1 if len(marks) else starts, starts)
         lowered = low[points]
-        words, term, cost = automaton.run(lowered, s, e)
-        if useful is not None:
-            own = useful[term, np.minimum(cost, 2)]
-            words, term, cost = words[own], term[own], cost[own]
-        cuts = np.searchsorted(words, word_offs)
-        for d in range(to - at):
-            found = []
-            for k in range(cuts[d], cuts[d + 1]):
-                w, lo, hi = int(words[k]), int(word_offs[d]), int(word_offs[d + 1])
-                near = [x for x in range(max(lo, w - WINDOW), min(hi, w + WINDOW + 1)) if x != w]
-                buckets = [zlib.crc32(lowered[s[x] : e[x]].tobytes()) % BUCKETS for x in near]
-                before = _text(points, int(starts[max(lo, w - WINDOW)]), int(s[w]))
-                after = _text(points, int(e[w]), int(ends[min(hi - 1, w + WINDOW)]))
-                found.append((int(term[k]), int(cost[k]), buckets, any(q in before for q in _QUOTES) and any(q in after for q in _QUOTES)))
-            yield at + d, int(word_offs[d + 1] - word_offs[d]), found
-
-
-def _text(points: np.ndarray, a: int, b: int) -> str:
-    return points[a:b].tobytes().decode("utf-32-le", "surrogatepass")
+        word, term, cost = automaton.run(lowered, s, e)
+        doc = np.searchsorted(word_offs, word, "right") - 1
+        lo, hi = np.maximum(word_offs[doc], word - WINDOW), np.minimum(word_offs[doc + 1], word + WINDOW + 1)
+        quotes = np.concatenate([[0], np.cumsum(_quote_table()[points])])
+        quoted = (quotes[s[word]] > quotes[starts[lo]]) & (quotes[ends[hi - 1]] > quotes[e[word]]) if len(word) else np.zeros(0, bool)
+        # the words of contexts get a bucket by their code points
+        near = np.zeros(len(starts) + 1, np.int64)
+        np.add.at(near, lo, 1)
+        np.add.at(near, hi, -1)
+        near = np.flatnonzero((np.cumsum(near)[:-1] > 0) & (e > s))
+        bucket = np.zeros(len(starts), np.int64)
+        bucket[near] = (span_hashes(lowered.view(np.uint8), 4 * s[near], 4 * e[near]) % np.uint64(BUCKETS)).astype(np.int64)
+        yield Hits(at, np.diff(word_offs), doc, term.astype(np.int64), np.minimum(cost, 2).astype(np.int64), word, lo, hi, quoted, bucket)
 
 
 class Model:
@@ -202,24 +219,33 @@ class Model:
 
     def __init__(self, terms=(), weights=None, context=None, coefficients=None):
         self.terms, self.weights, self.context, self.coefficients = terms, weights, context, coefficients
-        # what is no likelier in toxic documents says nothing about a document
-        self.useful = None if weights is None else weights > 0
-
-    def features(self, n_words: int, hits: list[tuple]) -> list[float]:
-        if not hits:
-            return [1.0, 0, 0, 0, 0, 0, 0]
-        weights = [float(self.weights[t, min(e, 2)]) for t, e, _, _ in hits]
-        contexts = [float(np.mean(self.context[b])) if b else 0.0 for _, _, b, _ in hits]
-        quoted = [q for *_, q in hits]
-        plain = [w for w, q in zip(weights, quoted, strict=True) if not q]
-        positive = sum(max(w, 0.0) for w in weights)
-        return [1.0, max(weights), min(sum(plain), 20.0) if plain else 0.0, math.log1p(positive), math.log1p(100 * positive / max(n_words, 1)), sum(contexts) / len(contexts), sum(quoted) / len(quoted)]
-
-    def score(self, n_words: int, hits: list[tuple]) -> float:
+
+    def features(self, hits: Hits) -> np.ndarray:
+        """By text: 1, the greatest weight, the sum of the weights outside quotes, the sum of positive ones and their density, mean context, share in quotes."""
+        out = np.zeros((len(hits.n_words), 7))
+        out[:, 0] = 1
+        if not len(hits.doc):
+            return out
+        weight = self.weights[hits.term, hits.cost]
+        of = self.context[hits.bucket]
+        sums = np.concatenate([[0], np.cumsum(of)])
+        others = hits.hi - hits.lo - 1
+        context = np.where(others > 0, (sums[hits.hi] - sums[hits.lo] - of[hits.word]) / np.maximum(others, 1), 0)
+        first = np.flatnonzero(np.concatenate([[True], hits.doc[1:] != hits.doc[:-1]]))
+        total = lambda x: np.add.reduceat(x.astype(float), first)
+        docs, n, positive = hits.doc[first], np.diff([*first, len(hits.doc)]), total(np.maximum(weight, 0))
+        out[docs, 1] = np.maximum.reduceat(weight, first)
+        out[docs, 2] = np.minimum(total(np.where(hits.quoted, 0, weight)), 20)
+        out[docs, 3] = np.log1p(positive)
+        out[docs, 4] = np.log1p(100 * positive / np.maximum(hits.n_words[docs], 1))
+        out[docs, 5] = total(context) / n
+        out[docs, 6] = total(hits.quoted) / n
+        return out
+
+    def score(self, hits: Hits) -> np.ndarray:
         if self.coefficients is None:
-            return 0.0
-        z = float(np.dot(self.features(n_words, hits), self.coefficients))
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+            return np.zeros(len(hits.n_words))
+        return 1 / (1 + np.exp(-np.clip(self.features(hits) @ self.coefficients, -40, 40)))
 
 
 def _regression(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -256,26 +282,29 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SA
     total, rate = max(seen.count(), 1), n[1] / (n[0] + n[1])
     p = F.least(F.col("t") / F.col("n"), F.lit(1 - 1e-9))
     gain = F.col("n") * (p * F.log(p / rate) + (1 - p) * F.log((1 - p) / (1 - rate)))
-    best = seen.where((F.col("t") > 0) & (p > 0.5) & (p > rate)).withColumn("gain", F.round(gain, 6)).where(F.col("gain") > math.log(3 * total)).orderBy(F.desc("gain"), "word").limit(TERMS)
-    terms = tuple(sorted(r["word"] for r in best.collect()))
+    best = seen.where((F.col("t") > 0) & (p > 0.5) & (p > rate)).withColumn("gain", F.round(gain, 6)).where(F.col("gain") > math.log(3 * total)).select("word")
+    terms = tuple(sorted(r["word"] for r in best.collect()))  # words of the bounded sample
     if not terms:
         return Model()
 
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_term, by_bucket = np.zeros((2, 3 * len(terms)), np.int64), np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
-            toxic = batch.column(0).to_pylist()
-            keys: dict[tuple, int] = {}
-            for row, _, found in find_hits(batch.column(1), terms):
-                for key in {(0, t * 3 + min(e, 2)) for t, e, _, _ in found}:
-                    keys[key, toxic[row]] = keys.get((key, toxic[row]), 0) + 1
-                for _, _, buckets, _ in found:
-                    for b in buckets:
-                        keys[(1, b), toxic[row]] = keys.get(((1, b), toxic[row]), 0) + 1
-            rows = [(kind, k, y, c) for ((kind, k), y), c in keys.items()]
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64()))], ["kind", "k", "toxic", "c"])
+            toxic = batch.column(0).to_numpy()
+            for hits in find_hits(batch.column(1), terms):
+                of = toxic[hits.first :][hits.doc]
+                once = np.unique(hits.doc * 3 * len(terms) + 3 * hits.term + hits.cost)  # once a document
+                np.add.at(by_term, (toxic[hits.first :][once // (3 * len(terms))], once % (3 * len(terms))), 1)
+                n = hits.hi - hits.lo
+                near = np.arange(int(n.sum())) + np.repeat(hits.lo - (np.cumsum(n) - n), n)
+                own = near != np.repeat(hits.word, n)
+                np.add.at(by_bucket, (np.repeat(of, n)[own], hits.bucket[near[own]]), 1)
+        for kind, table in enumerate((by_term, by_bucket)):
+            y, k = np.nonzero(table)
+            yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(table[y, k])], ["kind", "k", "toxic", "c"])
 
     weights, context = np.zeros((len(terms), 3, 2)), np.zeros((BUCKETS, 2))
-    for kind, k, y, c in texts.mapInArrow(hits, "kind int, k int, toxic int, c long").groupBy("kind", "k", "toxic").agg(F.sum("c")).collect():
+    for kind, k, y, c in texts.transform(map_batches, count, "kind int, k int, toxic int, c long").groupBy("kind", "k", "toxic").agg(F.sum("c")).collect():
         (weights[k // 3, k % 3] if kind == 0 else context[k])[y] = c
     scale = np.array([n[0], n[1]])
     odds = np.log((weights[..., 1] + 0.5) / (scale[1] + 1)) - np.log((weights[..., 0] + 0.5) / (scale[0] + 1))
@@ -288,10 +317,11 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SA
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [model.features(words, found) for _, words, found in find_hits(batch.column(1), model.terms, model.useful)]
-            yield pa.record_batch([batch.column(0), pa.array(made, pa.list_(pa.float64()))], ["toxic", "x"])
+            for hits in find_hits(batch.column(1), model.terms):
+                made = model.features(hits)
+                yield pa.record_batch([batch.column(0).slice(hits.first, len(made)), pa.array(made.tolist(), pa.list_(pa.float64()))], ["toxic", "x"])
 
-    got = texts.mapInArrow(features, "toxic int, x array<double>").collect()
+    got = texts.transform(map_batches, features, "toxic int, x array<double>").collect()
     got = sorted((r["toxic"], r["x"]) for r in got)
     y, x = np.array([g[0] for g in got], float), np.array([g[1] for g in got])
     model.coefficients = _regression(x, y, np.where(y == 1, 1 / share[1], 1 / share[0]))
@@ -305,10 +335,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            got = [(model.score(words, found), len(found)) for _, words, found in find_hits(batch.column(1), model.terms, model.useful)] if model.terms else [(0.0, 0)] * batch.num_rows
-            yield pa.record_batch([batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64())], ["doc_id", "score", "n_hits"])
+            if not model.terms:
+                yield pa.record_batch([batch.column(0), pa.array(np.zeros(batch.num_rows)), pa.array(np.zeros(batch.num_rows, np.int64))], ["doc_id", "score", "n_hits"])
+                continue
+            for hits in find_hits(batch.column(1), model.terms):
+                n = len(hits.n_words)
+                yield pa.record_batch([batch.column(0).slice(hits.first, n), pa.array(model.score(hits)), pa.array(np.bincount(hits.doc, minlength=n))], ["doc_id", "score", "n_hits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, n_hits long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_batches, run, "doc_id long, score double, n_hits long")
 
 
 def op9_misspelling_toxicity(spark, sf_dir: str) -> DataFrame:
