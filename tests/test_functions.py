@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfare.functions import formats as X
+from wayfare.functions import geometry as G
+from wayfare.functions import texts as T
 from wayfare.functions import urls as U
 from wayfare.operators import coding as C
 
@@ -91,9 +93,59 @@ def test_coder_round_trip():
         assert got == symbols
 
 
-def test_small_generators():
-    assert C.fnv1a(b"") == "cbf29ce484222325" and C.fnv1a(b"a") == "af63dc4c8601ec8c"
+def test_small_generators(spark):
+    assert f"{C.fnv1a(b''):016x}" == "cbf29ce484222325" and f"{C.fnv1a(b'a'):016x}" == "af63dc4c8601ec8c"
     assert C.SplitMix(0).next() == 0xE220A8397B1DCDAF
-    assert 0 <= C.hash01(3, 4, 5) < 1
-    kinds = [C.fuzz_url(1, k) for k in range(8)]
-    assert kinds == [C.fuzz_url(1, k) for k in range(8)] and len(kinds[7]) >= 1200 and "?" in kinds[2]
+    made = [C.made_url(1, k) for k in range(800)]
+    assert made == [C.made_url(1, k) for k in range(800)] and len(set(made)) > 600
+    assert all(len(made[k]) >= 600 for k in range(7, 800, 8)) and all("?" in made[k] for k in range(2, 800, 8))
+    rows = [(1, k, [k, 7, 2**40]) for k in range(5)] + [(2, 0, None), (None, 1, [3])]
+    df = spark.createDataFrame(rows, "g int, o int, v array<long>").repartition(3)
+    wanted = {g: f"{C.fnv1a(b''.join(int(x).to_bytes(8, 'little') for r in rows if r[0] == g for x in r[2] or [])):016x}" for g in (1, 2, None)}
+    assert {r.g: r.digest for r in C.ordered_digest(df, ["g"], ["o"], "v").collect()} == wanted
+    assert {r.digest for r in C.ordered_digest(df, ["g"], ["o"], "v", on=False).collect()} == {"off"}
+
+
+def test_fixed_rounds_the_exact_value(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    values = [0.25, 0.35, 1.005, 2.5, 0.5, 1.45, -0.04, -2.5, 1e15 + 0.5, 8.345, 1.255, 123456.78565, 0.0, 1 / 3, 5e-324, 9.995, 99.95]
+    for digits in range(4):
+        wanted = [("-" if v < 0 else "") + str(Decimal(abs(v)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)) for v in values]
+        assert column_of(spark, values, lambda v: X.fixed(v, digits), "double") == wanted  # noqa: B023
+
+
+def test_sql_functions(spark):
+    from wayfare.operators.tokenizer import Tokenizer
+
+    own = Tokenizer.of_words(["https://", "com"])
+    U.register(spark, own)
+    texts = ["https://me@www.a.com:80/x?y#z", "http://1.2.3.4/", "ftp://a.b", "", " https://h/#a%21b ", "AB$", "a~b", "x#%zz", "a\u0001b/c", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "i int, url string")
+    got = df.selectExpr("i", "canonical_url(url) AS c", "url_pieces(url) AS p", "sniff_alphabet(url) AS a", "mark_code(url, 0) AS m", "parse_link(url) AS l", "is_http(url) AS h", "url_tokens(url) AS t", "unframe_code(frame_bits('0101', 3, 1), 1) AS f").orderBy("i").collect()
+    want = df.select("i", U.canonical_url("url").alias("c"), U.url_pieces("url").alias("p"), U.sniff_alphabet("url").alias("a"), U.mark_code("url", F.lit(0)).alias("m"), U.parse_link("url").alias("l"), U.is_http("url").alias("h")).orderBy("i").collect()
+    assert [tuple(r)[:7] for r in got] == [tuple(r) for r in want]
+    assert [r.t for r in got] == [None if t is None else own.encode(t) for t in texts] and got[0].f.bits == "0101" and got[0].f.version == 3
+    assert want[8].p == ["a\u0001b", "/", "c"]
+
+
+def test_captions_and_shares(spark):
+    wrap = lambda t, n: [r for r in column_of(spark, [t], lambda c: T.wrap_caption(c, F.lit(0.55 * n + 0.01), F.lit(1.0)))[0]]
+    assert wrap("one two three", 7) == ["one two", "three"] and wrap("abcdefgh ij", 3) == ["abc", "def", "gh", "ij"]
+    assert wrap("a\n\nb", 5) == ["a", "", "b"] and wrap("\na\n", 5) == ["a"] and wrap("", 5) == [] and wrap("ab abcd", 4) == ["ab", "abcd"]
+    assert column_of(spark, [0.999, 0.5, 0.0123, 0.00012345, 2.3e-9], lambda c: T.kept_share(F.lit(0.0), c), "double") == ["~100% kept", "50% kept", "1.2% kept", "0.012% kept", "2.3e-07% kept"]
+    with pytest.raises(Exception, match="missing"):
+        column_of(spark, ["{}"], lambda c: T.required(c, "a.b"))
+    assert column_of(spark, ['{"a":{"b":3}}'], lambda c: T.required(c, "a.b", "number")) == [3.0]
+    with pytest.raises(Exception, match="drifts"):
+        column_of(spark, [10.0], lambda c: T.scaled(c, F.lit(100.0), 4.0), "double")
+
+
+def test_cell_hash(spark):
+    def brute(r, c, seed):
+        h = (r * 73856093 ^ c * 19349663 ^ int(float(seed) * 83492791.0)) & 0xFFFFFFFF
+        h = (h ^ h >> 13) * 0x5BD1E995 & 0xFFFFFFFF
+        return (h ^ h >> 15) / (1 << 32)
+
+    seeds = [0, 1, -1, 123456789, -(2**31), 2**31 - 1]
+    assert column_of(spark, seeds, lambda s: G.cell_hash(F.lit(17), F.lit(40), s), "long") == [brute(17, 40, s) for s in seeds]

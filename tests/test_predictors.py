@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wayfare.operators import predict as P
 from wayfare.operators import transformer as T
@@ -45,8 +46,7 @@ def test_exponentials():
     assert np.allclose(T.exp64(x), np.exp(x), rtol=1e-10) and np.allclose(T.exp32(x), np.exp(x), rtol=1e-5)
 
 
-def test_round_trip_with_chaining(model, monkeypatch):
-    monkeypatch.setattr(T, "CARRY", 16)
+def test_round_trip_with_chaining(model):
     predictor = T.TransformerPredictor(model)
     tokens = P.ByteTokens.encode("https://com.example/" + "ab/" * 12)
     bits, steps = P.encode_text(predictor, tokens)
@@ -69,3 +69,65 @@ def test_counts_and_samples(spark):
     assert len(P.sample_ids(model, 1, [], max_tokens=0)[0]) <= 1
     cum = P.grid(np.array([0.5, 0.5, 0.0]))
     assert cum[-1] == P.TOTAL and (np.diff(cum) >= 1).all()
+
+
+def test_chaining_of_a_block_of_half_the_default(spark):
+    """Texts longer than the block: the last half goes on."""
+    model = T.synthetic((1, 2, 128, 257, 64, 128))
+    predictor = T.TransformerPredictor(model)
+    for n in (63, 64, 65, 70, 200):
+        tokens = [1 + k % 250 for k in range(n)]
+        bits, _ = P.encode_text(predictor, tokens)
+        assert P.decode_bits(predictor, bits) == tokens
+    again = T.TransformerPredictor(model)
+    for t in [P.END, *range(1, 33)][-32:]:
+        again.logits(t)
+    long = T.TransformerPredictor(model)
+    for t in [*([9] * 32), *[P.END, *range(1, 33)][-32:]]:
+        long.logits(t)
+    assert np.array_equal(long.logits(5), again.logits(5))  # the block is full, so the first half is forgotten
+
+
+def test_tokenizer_against_the_library(spark):
+    import json
+
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer as Library
+
+    from wayfare.operators import tokenizer as K
+    from wayfare.sources.files import tokenizer_tables
+
+    path = public.path("byte_bpe_50k.json")
+    model = json.load(open(path))["model"]
+    merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    vocab = {t: i + 1 for t, i in model["vocab"].items()} | {K.EOS: 0}
+    own, library = K.Tokenizer(vocab, merges), Library.from_file(path)
+    texts = ["https://news.example.org/item?id=48920000", "xxxxxxxxxxxxx", "a--b", "https://münchen.de/日本語", "tokenization", ""]
+    for t in texts:
+        pieces = [p for p in K._PIECE.split(t) if p]
+        assert own.encode(t) == [i + 1 for p in pieces for i in library.encode(p, add_special_tokens=False).ids]
+        assert own.decode(own.encode(t)) == t
+    with pytest.raises(UnicodeDecodeError):
+        own.decode(own.encode("é")[:1] if len(own.encode("é")) > 1 else [vocab[K.byte_characters()[0xC3]]])
+    with pytest.raises(ValueError):
+        K.Tokenizer({"a": 0}, [])
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    assert [r.i for r in df.select(K.tokenize(F.col("t"), own, spark).alias("i")).collect()] == [*map(own.encode, texts), None]
+    assert tokenizer_tables is not None
+
+
+def test_evaluation(spark):
+    texts = spark.createDataFrame([("https://com.a/x",), ("https://com.b/yyyyyyyyyyyyyyyyy",), (None,), ("",)], "u string")
+    model = P.train_counts(texts, "u")
+    row = P.evaluate(texts, "u", model, most=20).first()
+    assert (row.n, row.skipped, row.url_bytes, row.differing) == (1, 1, 15, 0)
+
+    class Wrong(P.ByteTokens):
+        @staticmethod
+        def decode(tokens):
+            return P.ByteTokens.decode(tokens[:-1])
+
+    with pytest.raises(Exception, match="another text"):
+        P.evaluate(texts, "u", model, tokens=Wrong).collect()
+    small, big = P.train_counts(texts, "u"), P.train_counts(texts, "u", size=2000)
+    assert small.two and not big.two and big.none[:257].tolist() == small.none.tolist()

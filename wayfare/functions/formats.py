@@ -1,7 +1,6 @@
 """Figures as text, as Catalyst expressions. NBSP stands between a figure and its unit.
 
-`fixed` rounds halves away from zero on the decimal value; a double that only looks like a half may differ in the last
-place from rounding its exact binary value.
+`fixed` rounds the exact binary value, halves away from zero: 0.25 gives 0.3 and 1.005, which is a little less, gives 1.00.
 """
 
 from __future__ import annotations
@@ -17,8 +16,27 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c if isinstance(c, Column) else F.lit(c)
 
 
+def _halves(x: float) -> tuple[float, float]:
+    """x as a sum of two numbers of 26 bits."""
+    c = 134217729.0 * x
+    high = c - (c - x)
+    return high, x - high
+
+
 def fixed(x, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", _col(x).cast("double"))
+    """x with so many decimals. What the product with the power of ten loses to rounding is found by splitting both factors, and decides."""
+    v = _col(x).cast("double")
+    a, scale = F.abs(v), float(10**digits)
+    p = a * scale
+    c = a * 134217729.0
+    high = c - (c - a)
+    low, (sh, sl) = a - high, _halves(scale)
+    lost = ((high * sh - p) + high * sl + low * sh) + low * sl if digits else F.lit(0.0)
+    whole = F.floor(p)
+    n = whole + F.when((p - whole) - 0.5 + lost >= 0, 1).otherwise(0)
+    text = F.concat(((n - n % 10**digits) / 10**digits).cast("bigint").cast("string"), F.lit("."), F.lpad((n % 10**digits).cast("string"), digits, "0")) if digits else n.cast("string")
+    text = F.concat(F.when(v < 0, "-").otherwise(""), text)
+    return F.when(p < float(1 << 52), text).otherwise(F.format_string(f"%.{digits}f", v))
 
 
 def fmt_mib(mib, digits: int = 1) -> Column:

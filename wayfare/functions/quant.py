@@ -10,19 +10,68 @@ TOTAL = 1 << 24
 GROUP = 64
 
 
+def running(df: DataFrame, by: list[str], coarse: list[tuple[Column, bool]], fine: list[Column], value: Column, name: str) -> DataFrame:
+    """df with `name`: the sum of value over the group's rows up to this one, in the order of coarse, then fine.
+
+    coarse is a list of (column, whether it rises). Sums by coarse key are made first; only these, one row for each key, are added
+    up in order, and each row then needs its own key's rows alone. So no task holds a group unless a key does.
+    """
+    keys = [f"_k{i}" for i in range(len(coarse))]
+    rows = df.select("*", value.alias("_v"), *(c.alias(k) for k, (c, _) in zip(keys, coarse, strict=True)))
+    order = [F.asc(k) if rises else F.desc(k) for k, (_, rises) in zip(keys, coarse, strict=True)]
+    sums = rows.groupBy(*by, *keys).agg(F.sum("_v").alias("_s"))
+    upto = Window.partitionBy(*(by or [F.lit(1)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*by, *keys, F.coalesce(F.sum("_s").over(upto), F.lit(0).cast("bigint")).alias("_before"))
+    within = F.sum("_v").over(Window.partitionBy(*by, *keys).orderBy(*fine).rowsBetween(Window.unboundedPreceding, 0))
+    rows, before = rows.withColumn("_within", within).alias("r"), before.alias("b")
+    match = [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*by, *keys)]
+    return rows.join(before, match).select(*(F.col(f"r.{c}") for c in df.columns), (F.col("b._before") + F.col("r._within")).alias(name))
+
+
+def prefix(symbol) -> Column:
+    """The first three characters: texts are in the order of their prefixes, then of themselves."""
+    return F.left(symbol, F.lit(3))
+
+
 def quantize(dist: DataFrame, by: list[str], symbol: str, weight: str) -> DataFrame:
-    """dist with freq, cum_lo and cum_hi: integer frequencies by group `by`, in the order of `symbol`.
+    """dist with freq, cum_lo and cum_hi: integer frequencies by group `by`, in the order of `symbol` (a text).
+
+    f = trunc(w / sum * (TOTAL - n)) + 1; what is left goes to the heaviest symbol, the first of equals. A group has a slot for each of
+    its symbols, so more than TOTAL of them raise an error.
+    """
+    base = F.floor(F.col(weight) / F.col("_sum") * (F.lit(TOTAL) - F.col("_n"))).cast("bigint") + 1
+    enough = F.when(F.col("_n") > TOTAL, F.raise_error(F.lit("more symbols than slots"))).otherwise(base)
+    sums = dist.groupBy(*by).agg(F.sum(weight).alias("_sum"), F.count(F.lit(1)).alias("_n"), F.min(F.struct((-F.col(weight)).alias("w"), F.col(symbol).alias("s")))["s"].alias("_top"))
+    with_sums = _beside(dist, sums, by).withColumn("_f", enough)
+    left = with_sums.groupBy(*by).agg((F.lit(TOTAL) - F.sum("_f")).alias("_left"))
+    freq = F.col("_f") + F.when(F.col(symbol) == F.col("_top"), F.col("_left")).otherwise(0)
+    rows = _beside(with_sums, left, by).withColumn("freq", freq).drop("_sum", "_n", "_top", "_f", "_left")
+    out = running(rows, by, [(prefix(symbol), True)], [F.asc(symbol)], F.col("freq"), "cum_hi")
+    return out.withColumn("cum_lo", F.col("cum_hi") - F.col("freq"))
+
+
+def _beside(rows: DataFrame, sums: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of groups beside their rows; without groups the sums are one row."""
+    return rows.join(sums, by) if by else rows.crossJoin(F.broadcast(sums))
+
+
+def percentile(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """by, n, and the exact percentile of value for each name and share, between neighbours as usual. Nulls are left out.
 
-    f = trunc(w / sum * (TOTAL - n)) + 1; what is left goes to the heaviest symbol, the first of equals.
+    Values are counted, the counts are added up within 4,096 stretches of each group's range, and only rows at the wanted places
+    meet, so no task holds a group.
     """
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    share = F.col(weight) / F.sum(weight).over(group)
-    first = F.row_number().over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy(F.desc(weight), F.asc(symbol)))
-    base = dist.withColumn("_f", F.floor(share * (F.lit(TOTAL) - F.count(F.lit(1)).over(group))).cast("bigint") + 1).withColumn("_first", first)
-    freq = F.col("_f") + F.when(F.col("_first") == 1, F.lit(TOTAL) - F.sum("_f").over(group)).otherwise(0)
-    ordered = group.orderBy(symbol).rowsBetween(Window.unboundedPreceding, 0)
-    out = base.withColumn("freq", freq).withColumn("cum_hi", F.sum("freq").over(ordered))
-    return out.withColumn("cum_lo", F.col("cum_hi") - F.col("freq")).drop("_f", "_first")
+    rows = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    ends = rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_c").alias("_n"))
+    place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 4096)).otherwise(F.lit(0).cast("bigint"))
+    upto = running(_beside(rows, ends, by), by, [(place, True)], [F.asc(value)], F.col("_c"), "_upto")
+    out = [F.max("_n").alias("n")]
+    for name, share in shares.items():
+        at = F.lit(share) * (F.col("_n") - 1)
+        of = lambda k: F.max(F.when((F.col("_upto") > k) & (F.col("_upto") - F.col("_c") <= k), F.col(value)))  # noqa: B023, E731
+        low, high, part = of(F.floor(at)), of(F.ceil(at)), F.max(at - F.floor(at))
+        out.append((low + (high - low) * part).alias(name))
+    return upto.groupBy(*by).agg(*out)
 
 
 def information(lo, hi) -> Column:

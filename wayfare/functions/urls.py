@@ -18,7 +18,8 @@ QR_ALPHA = "/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ$*+-.:"
 ALPHABETS = ((0, "base79", 79), (1, "base64url", 64), (2, "emoji-1k", 1024), (3, "qr-alpha", 43))
 
 _IPV4 = "^[0-9]{1,3}([.][0-9]{1,3}){3}$"
-_PIECE = "(https://|http://|%[0-9A-Fa-f]{2}|[!#$%&'()*+,./:;=?@\\[\\\\\\]^_`{|}~-])"
+#: What is a piece of its own.
+PIECE = "(https://|http://|%[0-9A-Fa-f]{2}|[!#$%&'()*+,./:;=?@\\[\\\\\\]^_`{|}~-])"
 # Top-level domains of the token classes.
 TLDS = (
     "com org net io de uk jp edu gov ru fr co us info cn br au nl it es ca ch se pl cz in kr tw nz ie at be dk fi no pt gr hu ro mx ar za tr il ua sk "
@@ -69,8 +70,10 @@ def canonical_url(url) -> Column:
 
 
 def url_pieces(url) -> Column:
-    """array<string>: scheme, percent escapes and delimiters alone, words between them. The text must not hold U+0001."""
-    return F.filter(F.split(F.regexp_replace(_col(url), _PIECE, "\u0001$1\u0001"), "\u0001"), lambda x: x != "")
+    """array<string>: scheme, percent escapes and delimiters alone, words between them."""
+    # a piece is what the rule names, or the longest run in which it begins nowhere
+    rule = PIECE.strip("()")
+    return F.regexp_extract_all(_col(url), F.lit(f"(?s)({rule}|(?:(?!{rule}).)+)"), F.lit(1))
 
 
 def piece_class(piece) -> Column:
@@ -176,12 +179,47 @@ def alphabet_table(spark: SparkSession):
     return spark.createDataFrame(list(ALPHABETS), "alphabet int, name string, size int")
 
 
-def register(spark: SparkSession) -> None:
-    """Put the text functions into SQL as scalar SQL functions where the server allows, else as temporary functions."""
-    bodies = {
-        "is_http": ("text STRING", "BOOLEAN", "text RLIKE '^(?i)https?://'"),
-        "link_with": ("base STRING, fragment STRING", "STRING", "concat(substring_index(base, '#', 1), '#', fragment)"),
-        "octets": ("text STRING", "INT", "octet_length(text)"),
-    }
-    for name, (params, kind, body) in bodies.items():
+#: Text functions in SQL: name, parameters, type, body; later ones use those before.
+SQL_FUNCTIONS = (
+    ("is_http", "url STRING", "BOOLEAN", "url RLIKE '^(?i)https?://'"),
+    ("link_with", "base STRING, fragment STRING", "STRING", "concat(substring_index(base, '#', 1), '#', fragment)"),
+    ("octets", "url STRING", "INT", "octet_length(url)"),
+    ("is_ipv4", "host STRING", "BOOLEAN", f"host RLIKE '{_IPV4}' AND forall(split(host, '[.]'), p -> try_cast(p AS INT) < 256)"),
+    ("url_authority", "url STRING", "STRING", "regexp_extract(url, '(?s)^https?://([^/?#]*)', 1)"),
+    ("url_host_port", "url STRING", "STRING", "regexp_extract(url_authority(url), '(?s)([^@]*)$', 1)"),
+    ("url_port", "url STRING", "STRING", "regexp_extract(url_host_port(url), '(:[0-9]+)$', 1)"),
+    ("url_host", "url STRING", "STRING", "substring(url_host_port(url), 1, length(url_host_port(url)) - length(url_port(url)))"),
+    ("reversed_host", "host STRING", "STRING", "CASE WHEN host LIKE '%[%' OR host LIKE '%:%' OR is_ipv4(host) THEN host ELSE array_join(reverse(split(host, '[.]')), '.') END"),
+    (
+        "canonical_url", "url STRING", "STRING",
+        "CASE WHEN NOT url RLIKE '^https?://' THEN url ELSE concat(regexp_extract(url, '^(https?://)', 1), regexp_extract(url_authority(url), '(?s)^(.*@)', 1), reversed_host(url_host(url)), url_port(url), regexp_extract(url, '(?s)^https?://[^/?#]*(.*)$', 1)) END",
+    ),
+    ("url_pieces", "url STRING", "ARRAY<STRING>", f'regexp_extract_all(url, r"(?s)({PIECE[1:-1]}|(?:(?!{PIECE[1:-1]}).)+)", 1)'),
+    (
+        "sniff_alphabet", "code STRING", "INT",
+        "CASE WHEN code RLIKE r'[^\x00-\x7F]' THEN 2 WHEN contains(code, '/') OR (code RLIKE '^[/0-9A-Z$*+.:-]+$' AND code RLIKE '[$*+.:]') THEN 3 WHEN code RLIKE \"[~.!$&'()*+,;=:@]\" THEN 0 END",
+    ),
+    (
+        "mark_code", "code STRING, alphabet INT", "STRING",
+        "CASE WHEN alphabet = 0 AND (NOT code RLIKE \"[~.!$&'()*+,;=:@]\" OR code RLIKE '^[/0-9A-Z$*+.:-]+$') THEN concat('~', code) WHEN alphabet = 3 AND NOT contains(code, '/') AND NOT code RLIKE '[$*+.:]' THEN concat('/', code) ELSE code END",
+    ),
+    (
+        "percent_decode", "text STRING", "STRING",
+        "CASE WHEN NOT text RLIKE '%(?![0-9A-Fa-f]{2})' THEN try_validate_utf8(cast(aggregate(regexp_extract_all(text, '(?s)(%[0-9A-Fa-f]{2}|[^%]+)', 1), X'', (a, x) -> concat(a, CASE WHEN startswith(x, '%') THEN unhex(substring(x, 2, 2)) ELSE cast(x AS BINARY) END)) AS STRING)) END",
+    ),
+    ("link_code", "link STRING", "STRING", r"CASE WHEN contains(link, '#') THEN percent_decode(substring(regexp_replace(link, r'(?U)^[\s\uFEFF]+|[\s\uFEFF]+$', ''), instr(regexp_replace(link, r'(?U)^[\s\uFEFF]+|[\s\uFEFF]+$', ''), '#') + 1)) ELSE regexp_replace(link, r'(?U)^[\s\uFEFF]+|[\s\uFEFF]+$', '') END"),
+    ("parse_link", "link STRING", "STRUCT<code: STRING, alphabet: INT, error: STRING>", "named_struct('code', link_code(link), 'alphabet', sniff_alphabet(link_code(link)), 'error', CASE WHEN link_code(link) IS NULL AND link IS NOT NULL THEN 'malformed link: bad percent-encoding' END)"),
+)
+
+
+def register(spark: SparkSession, tokenizer=None) -> None:
+    """Put the text functions into SQL: expressions as SQL functions, framing and tokens (if a tokenizer is given) as Arrow UDFs."""
+    from ..operators import coding
+    from ..operators import tokenizer as tokens
+
+    for name, params, kind, body in SQL_FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {kind} RETURN {body}")
+    spark.udf.register("frame_bits", coding.frame_udf())
+    spark.udf.register("unframe_code", coding.unframe_udf())
+    if tokenizer is not None:
+        spark.udf.register("url_tokens", tokens.tokenize_udf(tokenizer, spark))

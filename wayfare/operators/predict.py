@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quant import TOTAL
@@ -22,8 +22,10 @@ from .coding import Decoder, Encoder, SplitMix, bits_to_code, code_to_bits, digi
 
 END = 0
 MAX_TOKENS = 65536
-#: Contexts of two bytes that a model may hold: 256 * 256 and those at a start, whatever the training table.
-MAX_CONTEXTS = 257 * 257
+#: A model over more tokens than this looks back one token instead of two, so that its contexts stay bounded (TOKENS**2, or the vocabulary).
+TOKENS = 1024
+#: Contexts whose grid a worker remembers.
+GRIDS = 8192
 
 
 def grid(weights: np.ndarray) -> np.ndarray:
@@ -35,18 +37,36 @@ def grid(weights: np.ndarray) -> np.ndarray:
 
 
 class CountPredictor:
-    """Counts of a byte after two, one and no bytes, mixed: token 0 ends a text, byte b is token b + 1."""
+    """Counts of a token after two, one and no tokens, mixed: token 0 ends a text."""
 
     def __init__(self, two: dict, one: dict, none: np.ndarray):
         self.two, self.one, self.none = two, one, none
+        self._ready()
+
+    def __getstate__(self):
+        return self.two, self.one, self.none
+
+    def __setstate__(self, state):
+        self.two, self.one, self.none = state
+        self._ready()
+
+    def _ready(self) -> None:
+        self.grid_of = functools.lru_cache(GRIDS)(lambda context: grid(self._weights(context)))
         self.reset()
 
     def reset(self) -> None:
         self.context = (END, END)
 
+    def _next(self, token: int) -> tuple[int, int]:
+        self.context = (self.context[1], token) if self.two else (END, token)
+        return self.context
+
     def feed(self, token: int) -> np.ndarray:
-        self.context = (self.context[1], token)
-        return self._weights(self.context)
+        return self._weights(self._next(token))
+
+    def feed_grid(self, token: int) -> np.ndarray:
+        """The grid after a token; contexts met before are remembered."""
+        return self.grid_of(self._next(token))
 
     def _weights(self, context: tuple[int, int]) -> np.ndarray:
         out = (self.none + 0.01) / (self.none.sum() + 0.01 * len(self.none))
@@ -58,28 +78,42 @@ class CountPredictor:
         return out
 
 
-def train_counts(texts: DataFrame, column: str) -> CountPredictor:
-    """Count bytes by context over the whole table; what reaches the driver is at most MAX_CONTEXTS times 257 counts."""
-    raw = F.concat(F.lit(b"\x00").cast("binary"), F.encode(column, "UTF-8"))
-    at = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int"))
-    tokens = F.concat(F.array(F.lit(END)), F.transform(F.slice(at, 2, F.size(at)), lambda b: b + 1), F.array(F.lit(END)))
-    rows = texts.where(F.col(column).isNotNull()).select(tokens.alias("t"))
-    steps = rows.select(F.posexplode("t").alias("i", "tok"), "t").where("i > 0").select(F.when(F.col("i") > 1, F.get("t", F.col("i") - 2)).otherwise(END).alias("a"), F.get("t", F.col("i") - 1).alias("b"), "tok")
-    counts = steps.groupBy("a", "b", "tok").count().collect()
+def feed_grid(predictor, token: int) -> np.ndarray:
+    return predictor.feed_grid(token) if hasattr(predictor, "feed_grid") else grid(predictor.feed(token))
+
+
+def train_counts(texts: DataFrame, column: str, ids: Column | None = None, size: int = 257) -> CountPredictor:
+    """Count tokens by context over the whole table: bytes of a text, or `ids` (an array<int> column) of a vocabulary of `size`.
+
+    What reaches the driver is a row for each context, with its counts in an array: at most TOKENS**2 contexts.
+    """
+    if ids is None:
+        raw = F.encode(column, "UTF-8")
+        ids = F.when(F.length(raw) > 0, F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int") + 1)).otherwise(F.array().cast("array<int>"))
+    end = F.array(F.lit(END))
+    rows = texts.where(F.col(column).isNotNull()).select(ids.alias("t"))
+    before = F.concat(end, end, "t") if size <= TOKENS else F.transform(F.concat(end, end, "t"), lambda _: F.lit(END))
+    steps = rows.select(F.explode(F.slice(F.arrays_zip(before.alias("a"), F.concat(end, "t", end).alias("b"), F.concat("t", end, end).alias("tok")), F.lit(1), F.size("t") + 1)).alias("s")).select("s.*")
+    counts = steps.groupBy("a", "b", "tok").agg(F.count(F.lit(1)).alias("n")).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("tok", "n"))).alias("c"))
     two: dict = {}
     one: dict = {}
-    none = np.zeros(257)
-    for a, b, tok, n in counts:
-        two.setdefault((a, b), {})[tok] = n
-        own = one.setdefault(b, {})
-        own[tok] = own.get(tok, 0) + n
-        none[tok] += n
-    pack = lambda d: {k: (np.array(sorted(v)), np.array([v[t] for t in sorted(v)], float)) for k, v in d.items()}
-    return CountPredictor(pack(two), pack(one), none)
+    none = np.zeros(size)
+    for a, b, own in counts.toLocalIterator():
+        tokens, n = np.array([x["tok"] for x in own], np.int32), np.array([x["n"] for x in own], float)
+        if size <= TOKENS:
+            two[a, b] = tokens, n
+        np.add.at(none, tokens, n)
+        if size <= TOKENS:
+            np.add.at(one.setdefault(b, np.zeros(size)), tokens, n)
+        else:
+            one[b] = tokens, n
+    if size <= TOKENS:
+        one = {b: (np.flatnonzero(v), v[v > 0]) for b, v in one.items()}
+    return CountPredictor(two, one, none)
 
 
 class ByteTokens:
-    """Text to byte tokens and back."""
+    """Text to byte tokens and back: byte b is token b + 1."""
 
     @staticmethod
     def encode(text: str) -> list[int]:
@@ -89,6 +123,11 @@ class ByteTokens:
     def decode(tokens: list[int]) -> str:
         return bytes(t - 1 for t in tokens).decode()
 
+    @staticmethod
+    def show(tokens: list[int]) -> str:
+        """The text, with bytes that are no character replaced."""
+        return bytes(t - 1 for t in tokens).decode("utf-8", "replace")
+
     @staticmethod
     def piece(token: int) -> str:
         return "<eos>" if token == END else bytes([token - 1]).decode("latin-1")
@@ -99,7 +138,7 @@ def encode_text(predictor, tokens: list[int]) -> tuple[str, list[tuple]]:
     predictor.reset()
     encoder, out, before = Encoder(), [], END
     for token in [*tokens, END]:
-        cum = grid(predictor.feed(before))
+        cum = feed_grid(predictor, before)
         lo, hi = int(cum[token]), int(cum[token + 1])
         encoder.encode(lo, hi)
         out.append((token, lo, hi, len(encoder.bits), encoder.pending))
@@ -111,7 +150,7 @@ def decode_bits(predictor, bits: str, most: int = MAX_TOKENS) -> list[int]:
     predictor.reset()
     decoder, out, before = Decoder(bits), [], END
     while len(out) < most:
-        cum = grid(predictor.feed(before))
+        cum = feed_grid(predictor, before)
         token = int(np.searchsorted(cum, decoder.target(), "right")) - 1
         if token == END:
             return out
@@ -124,8 +163,8 @@ def decode_bits(predictor, bits: str, most: int = MAX_TOKENS) -> list[int]:
 ENCODED = "canonical string, code string, bits string, n_tokens long, model_bits double, url_bytes long, bits_per_char double, pieces array<struct<piece:string,bits:double,clo:double,chi:double,emit:int,pend:int>>"
 
 
-def encode(df: DataFrame, column: str, predictor, alphabet: int = 1, version: int = 0, emoji: str | None = None, tokens=ByteTokens) -> DataFrame:
-    """df with `encoded`: the code of each text with its costs; null texts give null."""
+def encode(df: DataFrame, column: str, predictor, alphabet: int = 1, version: int = 0, emoji: str | None = None, tokens=ByteTokens, most: int = MAX_TOKENS) -> DataFrame:
+    """df with `encoded`: the code of each text with its costs; null texts, and those of more than `most` tokens, give null."""
     shared = df.sparkSession.sparkContext.broadcast(predictor)
     digits = digits_of(alphabet, emoji)
 
@@ -135,10 +174,11 @@ def encode(df: DataFrame, column: str, predictor, alphabet: int = 1, version: in
         for texts in batches:
             rows = []
             for text in texts:
-                if text is None:
+                own = None if text is None else tokens.encode(text)
+                if own is None or len(own) > most:
                     rows.append((None,) * 8)
                     continue
-                bits, steps = encode_text(model, tokens.encode(text))
+                bits, steps = encode_text(model, own)
                 cost = [24 - math.log2(hi - lo) for _, lo, hi, *_ in steps]
                 pieces = [{"piece": tokens.piece(t), "bits": round(c, 2), "clo": round(lo / TOTAL, 9), "chi": round(hi / TOTAL, 9), "emit": e, "pend": p} for (t, lo, hi, e, p), c in zip(steps, cost, strict=True)]
                 size = len(text.encode())
@@ -172,10 +212,14 @@ def decode(df: DataFrame, column: str, predictor, alphabet: int = 1, version: in
     return raw.withColumn("decoded", F.struct(canonical_url(F.col("_raw.text")).alias("text"), F.col("_raw.version").alias("version"), F.col("_raw.error").alias("error"))).drop("_raw")
 
 
-def evaluate(df: DataFrame, column: str, predictor, alphabet: int = 1) -> DataFrame:
-    """One row over all non-empty texts: n, bits, bytes, code characters and bits per character (a ratio of sums)."""
-    rows = encode(df.where(F.col(column) != ""), column, predictor, alphabet).select("encoded.*")
-    sums = rows.agg(F.count("code").alias("n"), F.sum(F.length("bits")).alias("coded_bits"), F.sum("model_bits").alias("model_bits"), F.sum("url_bytes").alias("url_bytes"), F.sum(F.char_length("code")).alias("code_chars"))
+def evaluate(df: DataFrame, column: str, predictor, alphabet: int = 1, tokens=ByteTokens, most: int = MAX_TOKENS) -> DataFrame:
+    """One row over all non-empty texts: n, skipped (more than `most` tokens), bits, bytes, code characters and bits per character (a
+    ratio of sums). Each code is decoded again, and one that gives another text raises an error."""
+    rows = encode(df.where(F.col(column) != ""), column, predictor, alphabet, tokens=tokens, most=most)
+    back = decode(rows.select(column, "encoded", F.col("encoded.code").alias("_code")), "_code", predictor, alphabet, tokens=tokens)
+    fine = F.col("encoded.code").isNull() | F.col("decoded.text").eqNullSafe(F.col(column))
+    rows = back.select("encoded.*", F.when(fine, F.lit(0)).otherwise(F.raise_error(F.concat(F.lit("the code gives another text than "), F.col(column)))).alias("_differs"))
+    sums = rows.agg(F.count("code").alias("n"), F.count_if(F.col("code").isNull()).alias("skipped"), F.sum(F.length("bits")).alias("coded_bits"), F.sum("model_bits").alias("model_bits"), F.sum("url_bytes").alias("url_bytes"), F.sum(F.char_length("code")).alias("code_chars"), F.sum("_differs").alias("differing"))
     return sums.withColumn("bits_per_char", F.col("coded_bits") / F.col("url_bytes"))
 
 
@@ -234,7 +278,7 @@ def sample(seeds: DataFrame, predictor, prefix: str = "", temperature: float = 1
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for own in batches:
             made = [sample_ids(shared.value, int(s), tokens.encode(prefix), temperature, top_k, max_tokens) for s in own]
-            yield pd.DataFrame([(bytes(t - 1 for t in ids).decode("utf-8", "replace"), len(ids), ended) for ids, ended in made], columns=["text", "n_tokens", "terminated"])
+            yield pd.DataFrame([(tokens.show(ids), len(ids), ended) for ids, ended in made], columns=["text", "n_tokens", "terminated"])
 
     return seeds.withColumn("_s", run(F.col("seed").cast("long"))).select(*seeds.columns, "_s.*")
 

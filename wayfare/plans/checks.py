@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+from ..functions import texts as T
 from ..functions import urls as U
 from .registry import query, table
 
@@ -23,13 +25,13 @@ def parity_compare(spark, sf_dir):
     return a.join(b, F.col("ia") == F.col("ib"), "full").groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_SHIFT = "WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 200), a AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS r, CAST(x AS DOUBLE) AS x FROM e), b AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY round(x, 1) DESC, i) AS r, round(CAST(x AS DOUBLE), 1) AS x FROM e)"
+_SHIFT = "WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), a AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS r, CAST(x AS DOUBLE) AS x FROM e), b AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY round(x, 1) DESC, i) AS r, round(CAST(x AS DOUBLE), 1) AS x FROM e)"
 
 
 @query("rank_difference", f"{_SHIFT} SELECT a.vec_id, round(max(abs(a.x - b.x)), 6) AS worst, count(*) FILTER (WHERE a.i <> b.i) AS moved FROM a JOIN b ON a.vec_id = b.vec_id AND a.r = b.r GROUP BY a.vec_id")
 def rank_difference(spark, sf_dir):
     """Two rankings of the same vector, rank by rank: the largest difference and how many places moved."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 200").select("vec_id", F.col("embedding").alias("v"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     ranked = lambda x, k: F.array_sort(F.transform(x, lambda y, i: F.struct((-k(y)).alias("o"), i.alias("i"), k(y).alias("x"))))
     a, b = ranked("v", lambda y: y.cast("double")), ranked("v", lambda y: F.round(y, 1).cast("double"))
     pairs = F.zip_with(a, b, lambda p, q: F.struct(F.abs(p["x"] - F.round(q["x"], 1)).alias("d"), (p["i"] != q["i"]).cast("int").alias("m")))
@@ -49,31 +51,33 @@ def set_union_all(spark, sf_dir):
     return part("page", "pages", "page_id").unionByName(part("doc", "documents", "doc_id")).unionByName(part("item", "benchmark", "item_id")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("golden_replay", "SELECT 16 AS cases, 0 AS failures")
+# What the canonical form has to give.
+PAIRS = [
+    ("https://www.example.com/a", "https://com.example.www/a"),
+    ("http://a.b.c", "http://c.b.a"),
+    ("https://user:pw@www.x.org:8080/p?q#f", "https://user:pw@org.x.www:8080/p?q#f"),
+    ("https://a@b@c.d/", "https://a@b@d.c/"),
+    ("https://1.2.3.4/x", "https://1.2.3.4/x"),
+    ("https://256.2.3.4/x", "https://4.3.2.256/x"),
+    ("https://[::1]:80/", "https://[::1]:80/"),
+    ("https://host:/x", "https://host:/x"),
+    ("HTTPS://www.example.com", "HTTPS://www.example.com"),
+    ("ftp://a.b", "ftp://a.b"),
+    ("https://", "https://"),
+    ("https://a..b/", "https://b..a/"),
+    ("https://x.y?z", "https://y.x?z"),
+    ("https://x.y#z", "https://y.x#z"),
+    ("plain text", "plain text"),
+    ("https://münchen.de/ü", "https://de.münchen/ü"),
+]
+_PAIRS = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in pair) + ")" for pair in PAIRS)
+
+
+@query("golden_replay", f"SELECT given, wanted AS got, given AS back FROM (VALUES {_PAIRS}) t(given, wanted)")
 def golden_replay(spark, sf_dir):
-    """Fixed input and output pairs of the canonical form, computed and compared both ways."""
-    # What the canonical form has to give.
-    pairs = [
-        ("https://www.example.com/a", "https://com.example.www/a"),
-        ("http://a.b.c", "http://c.b.a"),
-        ("https://user:pw@www.x.org:8080/p?q#f", "https://user:pw@org.x.www:8080/p?q#f"),
-        ("https://a@b@c.d/", "https://a@b@d.c/"),
-        ("https://1.2.3.4/x", "https://1.2.3.4/x"),
-        ("https://256.2.3.4/x", "https://4.3.2.256/x"),
-        ("https://[::1]:80/", "https://[::1]:80/"),
-        ("https://host:/x", "https://host:/x"),
-        ("HTTPS://www.example.com", "HTTPS://www.example.com"),
-        ("ftp://a.b", "ftp://a.b"),
-        ("https://", "https://"),
-        ("https://a..b/", "https://b..a/"),
-        ("https://x.y?z", "https://y.x?z"),
-        ("https://x.y#z", "https://y.x#z"),
-        ("plain text", "plain text"),
-        ("https://münchen.de/ü", "https://de.münchen/ü"),
-    ]
-    cases = spark.createDataFrame(pairs, "given string, wanted string").withColumn("got", U.canonical_url("given")).withColumn("back", U.canonical_url("wanted"))
-    bad = (F.col("got") != F.col("wanted")) | (F.col("back") != F.col("given"))
-    return cases.agg(F.count(F.lit(1)).cast("int").alias("cases"), F.count_if(bad).cast("int").alias("failures"))
+    """Fixed input and output pairs of the canonical form, computed both ways."""
+    cases = spark.createDataFrame(PAIRS, "given string, wanted string")
+    return cases.select("given", U.canonical_url("given").alias("got"), U.canonical_url("wanted").alias("back"))
 
 
 #: Rules of the header plans: order, path pattern, names set and values, names cleared.
@@ -195,7 +199,11 @@ def denylist_scan(spark, sf_dir):
 
 @query("denylist_rollup", f"WITH {_DENY} SELECT coalesce(rule, 'TOTAL') AS rule, count(*) AS n, count(DISTINCT doc_id) AS docs FROM kept GROUP BY ROLLUP (rule) HAVING count(*) > 0")
 def denylist_rollup(spark, sf_dir):
-    return _found(spark, sf_dir).rollup("rule").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs")).select(F.coalesce("rule", F.lit("TOTAL")).alias("rule"), "n", "docs")
+    """Hits are counted by document and rule before anything moves; the total is a sum of the rules' rows and a count of documents."""
+    found = _found(spark, sf_dir).groupBy("doc_id", "rule").agg(F.count(F.lit(1)).alias("n"))
+    rules = found.groupBy("rule").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    whole = found.groupBy("doc_id").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).where("docs > 0")
+    return rules.unionByName(whole.select(F.lit("TOTAL").alias("rule"), "n", "docs"))
 
 
 @query("shard_completeness", "SELECT shard, count(*) AS n, (SELECT count(*) FROM documents) AS total FROM (SELECT doc_id % 4 AS shard FROM documents) GROUP BY shard")
@@ -211,35 +219,55 @@ def segment_share(spark, sf_dir):
     return n.withColumn("share", F.round(F.col("chars") / F.sum("chars").over(Window.partitionBy(F.lit(1))), 6))
 
 
-@query("eval_report", "SELECT 1.2629 AS bits, CAST(99926 AS BIGINT) AS n, CAST(74 AS BIGINT) AS skipped")
+_REPORT = "SELECT o_orderkey, 'fp32: ' || (o_orderkey % 5) || '.' || (1000 + o_orderkey % 9000) || ' bits/char over ' || (o_orderkey * 7) || ' URLs (' || (o_orderkey % 13) || ' skipped)' || chr(10) || 'kernel_sim(int4): ' || (o_orderkey % 3) || '.5 bits/char' || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || 'kernel: 1.25 bits/char (checked) over ' || (o_orderkey % 500) || ' URLs' ELSE '' END AS report FROM orders"
+
+
+@query(
+    "eval_report",
+    f"SELECT o_orderkey, CAST(regexp_extract(report, 'fp32: ([0-9.]+)', 1) AS DOUBLE) AS bits, CAST(regexp_extract(report, 'char over ([0-9]+) URLs [(]', 1) AS BIGINT) AS scored, CAST(regexp_extract(report, '[(]([0-9]+) skipped', 1) AS BIGINT) AS skipped, CAST(regexp_extract(report, 'int4[)]: ([0-9.]+)', 1) AS DOUBLE) AS kernel, CAST(nullif(regexp_extract(report, 'kernel: ([0-9.]+)', 1), '') AS DOUBLE) AS real, CAST(nullif(regexp_extract(report, 'checked[)] over ([0-9]+)', 1), '') AS BIGINT) AS real_urls FROM ({_REPORT})",
+)
 def eval_report(spark, sf_dir):
-    """Figures out of a report line; an absent part is null."""
-    line = spark.createDataFrame([("eval: 1.2629 bits/char over 99926 urls (74 skipped)",)], "value string")
-    num = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit(""))
-    return line.select(num("([0-9.]+) bits/char").cast("decimal(5,4)").alias("bits"), num("over ([0-9]+)").cast("bigint").alias("n"), num("[(]([0-9]+) skipped").cast("bigint").alias("skipped"))
+    """Figures out of report texts; the last line may be absent."""
+    k = F.col("o_orderkey")
+    real = F.when(k % 2 == 0, F.format_string("\nkernel: 1.25 bits/char (checked) over %d URLs", k % 500)).otherwise("")
+    report = F.concat(F.format_string("fp32: %d.%d bits/char over %d URLs (%d skipped)\nkernel_sim(int4): %d.5 bits/char", k % 5, 1000 + k % 9000, k * 7, k % 13, k % 3), real)
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.eval_figures(report).alias("r")).select("o_orderkey", "r.*")
 
 
 @query("alignment_centres", "WITH s(size, coords) AS (VALUES (25, [6, 18]), (45, [6, 22, 38]), (145, [6, 34, 60, 86, 112, 138])) SELECT size, r, c FROM (SELECT size, unnest(coords) AS r, coords FROM s) JOIN (SELECT size AS s2, unnest(coords) AS c FROM s) ON size = s2 WHERE NOT ((r = 6 AND c = 6) OR (r = 6 AND c = size - 7) OR (r = size - 7 AND c = 6))")
 def alignment_centres(spark, sf_dir):
     """Centres of alignment patterns of a symbol of a given size: evenly spaced places, without the three corners."""
     sizes = spark.createDataFrame([(25,), (45,), (145,)], "size int")
-    version = F.floor((F.col("size") - 17) / 4).cast("int")
-    count = F.floor(version / 7).cast("int") + 2
-    step = F.when(F.col("size") == 145, 26).otherwise(F.ceil((F.col("size") - 13) / (2 * count - 2)).cast("int") * 2)
-    places = F.concat(F.array(F.lit(6)), F.reverse(F.transform(F.sequence(F.lit(0), count - 2), lambda k: F.col("size") - 7 - k * step)))
+    places = G.alignment_coordinates("size")
     rows = sizes.withColumn("p", places)
     pairs = rows.select("size", "p", F.explode("p").alias("r")).select("size", "r", F.explode("p").alias("c"))
     last = F.col("size") - 7
     return pairs.where(~(((F.col("r") == 6) & F.col("c").isin(6)) | ((F.col("r") == 6) & (F.col("c") == last)) | ((F.col("r") == last) & (F.col("c") == 6))))
 
 
-@query("module_neighbours", "WITH m AS (SELECT CAST(vec_id AS BIGINT) AS r, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS c, unnest(embedding) > 0 AS dark FROM embeddings WHERE vec_id < 64), d AS (SELECT r, c FROM m WHERE dark) SELECT d.r, d.c, (EXISTS (SELECT 1 FROM d x WHERE x.r = d.r - 1 AND x.c = d.c)) AS up, (EXISTS (SELECT 1 FROM d x WHERE x.r = d.r + 1 AND x.c = d.c)) AS down, (EXISTS (SELECT 1 FROM d x WHERE x.r = d.r AND x.c = d.c - 1)) AS lft, (EXISTS (SELECT 1 FROM d x WHERE x.r = d.r AND x.c = d.c + 1)) AS rgt FROM d")
+#: Symbols of 57 rows and columns, from as many embeddings each.
+_SIDE = 57
+
+def _function_sql(r: str, c: str) -> str:
+    last = _SIDE - 7
+    return f"""(({r} < 7 AND {c} < 7) OR ({r} < 7 AND {c} >= {last}) OR ({r} >= {last} AND {c} < 7) OR ({r} = 6 AND {c} BETWEEN 8 AND {last - 2}) OR ({c} = 6 AND {r} BETWEEN 8 AND {last - 2})
+ OR ((abs({r} - 6) <= 2 OR abs({r} - 28) <= 2 OR abs({r} - 50) <= 2) AND (abs({c} - 6) <= 2 OR abs({c} - 28) <= 2 OR abs({c} - 50) <= 2)
+ AND NOT ((abs({r} - 6) <= 2 AND abs({c} - 6) <= 2) OR (abs({r} - 6) <= 2 AND abs({c} - 50) <= 2) OR (abs({r} - 50) <= 2 AND abs({c} - 6) <= 2))))"""
+
+
+@query(
+    "module_neighbours",
+    f"""WITH m AS (SELECT CAST(vec_id // {_SIDE} AS BIGINT) AS symbol, CAST(vec_id % {_SIDE} AS INT) AS r, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS c, unnest(embedding) > 0 AS dark FROM embeddings), d AS (SELECT symbol, r, c FROM m WHERE dark AND c < {_SIDE})
+SELECT d.symbol, d.r, d.c, u.r IS NOT NULL AS up, w.r IS NOT NULL AS down, l.r IS NOT NULL AS lft, g.r IS NOT NULL AS rgt FROM d LEFT JOIN d u ON u.symbol = d.symbol AND u.r = d.r - 1 AND u.c = d.c LEFT JOIN d w ON w.symbol = d.symbol AND w.r = d.r + 1 AND w.c = d.c
+ LEFT JOIN d l ON l.symbol = d.symbol AND l.r = d.r AND l.c = d.c - 1 LEFT JOIN d g ON g.symbol = d.symbol AND g.r = d.r AND g.c = d.c + 1 WHERE NOT {_function_sql("d.r", "d.c")}""",
+)
 def module_neighbours(spark, sf_dir):
-    """Dark cells with their four neighbours, from a row's own array and the rows beside it."""
-    v = table(spark, sf_dir, "embeddings").where("vec_id < 64").select(F.col("vec_id").cast("bigint").alias("r"), F.transform("embedding", lambda x: x > 0).alias("m"))
-    w = Window.partitionBy(F.lit(1)).orderBy("r")  # one symbol: 64 rows
-    v = v.withColumn("above", F.lag("m").over(w)).withColumn("below", F.lead("m").over(w))
+    """Dark cells outside the function patterns with their four neighbours, from a row's own array and the rows beside it in its symbol."""
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / _SIDE).alias("symbol"), (F.col("vec_id") % _SIDE).cast("int").alias("r"), F.transform(F.slice("embedding", 1, _SIDE), lambda x: x > 0).alias("m"))
+    w = Window.partitionBy("symbol").orderBy("r")
+    beside = lambda f, k: F.when(f("r").over(w) == F.col("r") + k, f("m").over(w))
+    rows = rows.withColumns({"above": beside(F.lag, -1), "below": beside(F.lead, 1)})
     at = lambda a, k: F.coalesce(F.get(a, k), F.lit(False))
-    rows = v.select("r", "m", "above", "below", F.posexplode("m").alias("c", "dark")).where("dark")
+    cells = rows.select("symbol", "r", "m", "above", "below", F.posexplode("m").alias("c", "dark")).where(F.col("dark") & ~G.is_function_pattern(_SIDE, "r", "c"))
     c = F.col("c")
-    return rows.select("r", c.cast("bigint").alias("c"), at("above", c).alias("up"), at("below", c).alias("down"), at("m", F.when(c > 0, c - 1)).alias("lft"), at("m", c + 1).alias("rgt"))
+    return cells.select("symbol", "r", "c", at("above", c).alias("up"), at("below", c).alias("down"), at("m", F.when(c > 0, c - 1)).alias("lft"), at("m", c + 1).alias("rgt"))

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quant import percentile, running
 from .registry import query, table
 
 
@@ -19,24 +20,26 @@ def events(spark, sf_dir):
 @query("bench_median", "SELECT event_type, round(median(value), 6) AS median, count(*) AS n FROM events GROUP BY event_type")
 def bench_median(spark, sf_dir):
     """The exact median; of an even number the mean of the two in the middle."""
-    return events(spark, sf_dir).groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"), F.count(F.lit(1)).alias("n"))
+    got = percentile(events(spark, sf_dir), ["event_type"], "value", {"median": 0.5})
+    counts = events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(got.drop("n"), "event_type", "left").select("event_type", F.round("median", 6).alias("median"), "n")
 
 
 @query("bench_upper_median", "SELECT event_type, value AS upper_median FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) WHERE r = n // 2 + 1")
 def bench_upper_median(spark, sf_dir):
-    """The value at place floor(n / 2) of the sorted ones; counts by value come first, so a group is never gathered."""
-    counts = events(spark, sf_dir).where("value IS NOT NULL").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("event_type")
-    upto = F.sum("c").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    rows = counts.withColumn("upto", upto).withColumn("n", F.sum("c").over(w))
+    """The value at place floor(n / 2) of the sorted ones."""
+    rows = events(spark, sf_dir).where("value IS NOT NULL").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("c"))
+    totals = rows.groupBy("event_type").agg(F.sum("c").alias("n"))
+    upto = running(rows, ["event_type"], [(F.floor("value"), True)], [F.asc("value")], F.col("c"), "upto")
     at = F.floor(F.col("n") / 2) + 1
-    return rows.where((F.col("upto") >= at) & (F.col("upto") - F.col("c") < at)).select("event_type", F.col("value").alias("upper_median"))
+    return upto.join(totals, "event_type").where((F.col("upto") >= at) & (F.col("upto") - F.col("c") < at)).select("event_type", F.col("value").alias("upper_median"))
 
 
 @query("bench_summary", "SELECT event_type, round(median(value), 6) AS ms_median, round(median(value) / 16, 6) AS ms_token, round(min(value), 6) AS best, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
 def bench_summary(spark, sf_dir):
-    m = F.median("value")
-    return events(spark, sf_dir).groupBy("event_type").agg(F.round(m, 6).alias("ms_median"), F.round(m / 16, 6).alias("ms_token"), F.round(F.min("value"), 6).alias("best"), F.round(F.percentile("value", 0.9), 6).alias("p90"))
+    got = percentile(events(spark, sf_dir), ["event_type"], "value", {"m": 0.5, "p90": 0.9})
+    best = events(spark, sf_dir).groupBy("event_type").agg(F.round(F.min("value"), 6).alias("best"))
+    return best.join(got, "event_type", "left").select("event_type", F.round("m", 6).alias("ms_median"), F.round(F.col("m") / 16, 6).alias("ms_token"), "best", F.round("p90", 6).alias("p90"))
 
 
 #: The window of the trailing rate and the least span for one, in seconds.
@@ -53,15 +56,17 @@ FROM f JOIN o b ON b.user_id = f.user_id AND b.r = greatest(f.inside - 1, 1)""",
 )
 def trailing_rate(spark, sf_dir):
     """Rate over a trailing window that keeps one sample older than it; null with too short a span or without progress."""
-    micros = F.unix_micros("ts")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    c = events(spark, sf_dir).select("user_id", "event_id", "ts", micros.alias("t"), F.sum(F.abs("value")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("got"), F.struct(micros.alias("t"), F.sum(F.abs("value")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("got")).alias("s"))
-    # the sample before each one goes along, so that a range frame's first row brings the older one
-    c = c.withColumn("prev", F.coalesce(F.lag("s").over(order), F.col("s")))
-    frame = Window.partitionBy("user_id").orderBy("t").rangeBetween(-RATE_WINDOW * 1_000_000, 0)
-    c = c.withColumn("b", F.min("prev").over(frame))
+    running_sum = F.sum(F.abs("value")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    c = events(spark, sf_dir).select("user_id", "event_id", F.unix_micros("ts").alias("t"), running_sum.alias("got"))
+    # where each window begins is looked up as the last sample before it, in one running pass: a marker stands before the samples of its time
+    samples = c.select("user_id", "event_id", F.col("t").alias("at"), F.lit(1).alias("kind"), "t", "got", F.struct("t", "got").alias("s"))
+    markers = c.select("user_id", "event_id", (F.col("t") - RATE_WINDOW * 1_000_000).alias("at"), F.lit(0).alias("kind"), "t", "got", F.lit(None).cast("struct<t:bigint,got:double>").alias("s"))
+    upto = Window.partitionBy("user_id").orderBy("at", "kind", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.first("s", ignorenulls=True).over(Window.partitionBy("user_id").orderBy("at", "kind", "event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    looked = samples.unionByName(markers).select("user_id", "event_id", "kind", "t", "got", F.coalesce(F.last("s", ignorenulls=True).over(upto), own).alias("b")).where("kind = 0")
     span, gain = F.col("t") - F.col("b.t"), F.col("got") - F.col("b.got")
-    return c.select("user_id", "event_id", F.when((span >= RATE_SPAN * 1_000_000) & (gain > 0), F.round(gain / (span / 1e6), 9)).alias("rate"))
+    return looked.select("user_id", "event_id", F.when((span >= RATE_SPAN * 1_000_000) & (gain > 0), F.round(gain / (span / 1e6), 9)).alias("rate"))
 
 
 @query(
@@ -114,9 +119,14 @@ def throttle(rows: DataFrame, least: int) -> DataFrame:
     return rows.mapInArrow(run, "event_id long, user_id long, gap long")
 
 
-@query("throttled_gaps", "WITH g AS (SELECT event_id, user_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) SELECT event_id, user_id, gap FROM g WHERE gap IS NULL OR gap >= 600000000")
+@query(
+    "throttled_gaps",
+    """WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER w AS r, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+p AS (SELECT event_id, user_id, t, r, gap FROM o WHERE r = 1 UNION ALL SELECT n.event_id, n.user_id, n.t, n.r, n.gap FROM p, LATERAL (SELECT * FROM o WHERE o.user_id = p.user_id AND o.r > p.r AND o.t - p.t >= 600000000 ORDER BY o.r LIMIT 1) n)
+SELECT event_id, user_id, gap FROM p""",
+)
 def throttled_gaps(spark, sf_dir):
-    """Greedy, as the streaming form: the SQL looks at the event before only and misses some that pass."""
+    """Greedy, as the streaming form: an event is held against the last one that passed."""
     return throttle(events(spark, sf_dir).select("event_id", "user_id", F.unix_micros("ts").alias("t")), 600_000_000)
 
 
@@ -140,11 +150,6 @@ def json_required_fields(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", k.alias("k"), (F.coalesce(k, F.lit("")) == "").alias("missing"))
 
 
-@query("fault_actions", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'replay' WHEN value < 5 THEN 'recover' ELSE 'return' END AS action FROM events")
-def fault_actions(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", F.when(F.col("event_type") == "error", "replay").when(F.col("value") < 5, "recover").otherwise("return").alias("action"))
-
-
 @query("clamped_settings", "SELECT event_id, CAST(coalesce(least(40, greatest(0, floor(value + 0.5))), 4) AS INT) AS margin, round(coalesce(least(1.0, greatest(0.0, value / 100)), 0.5), 6) AS opacity, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'view' END AS shape FROM events")
 def clamped_settings(spark, sf_dir):
     """Settings made valid: rounded, clamped, or replaced by a default."""

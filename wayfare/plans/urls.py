@@ -52,9 +52,25 @@ def url_canonical(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", U.canonical_url("url").alias("canonical"))
 
 
-@query("url_canonical_involution", "SELECT page_id, true AS same FROM pages")
+_ODD = "(SELECT page_id, CASE page_id % 7 WHEN 0 THEN replace(url, '://', '://me:pw@') WHEN 1 THEN replace(url, '://', '://10.' || (page_id % 300) || '.7.1:80/?') WHEN 2 THEN replace(url, '://', '://[::1]:8080/') WHEN 3 THEN replace(url, '://', '://a@b@') WHEN 4 THEN 'ftp' || url WHEN 5 THEN replace(url, '/', ':/') ELSE url || chr(10) || '#@x.y' END AS url FROM pages)"
+_ODD_PARTS = _PARTS.replace("FROM pages)", f"FROM {_ODD} odd)").replace("regexp_extract(url, '^https?://[^/?#]*(.*)$', 1)", "regexp_extract(url, '^https?://[^/?#]*(.*)$', 1, 's')")
+
+
+@query("url_canonical_odd", f"WITH {_ODD_PARTS} SELECT page_id, url, canonical FROM canon")
+def url_canonical_odd(spark, sf_dir):
+    """User names, addresses, ports, other schemes and line ends."""
+    u, k = F.col("url"), F.col("page_id")
+    put = lambda x: F.replace(u, F.lit("://"), x if not isinstance(x, str) else F.lit(x))
+    odd = (
+        F.when(k % 7 == 0, put("://me:pw@")).when(k % 7 == 1, put(F.concat(F.lit("://10."), (k % 300).cast("string"), F.lit(".7.1:80/?")))).when(k % 7 == 2, put("://[::1]:8080/"))
+        .when(k % 7 == 3, put("://a@b@")).when(k % 7 == 4, F.concat(F.lit("ftp"), u)).when(k % 7 == 5, F.replace(u, F.lit("/"), F.lit(":/"))).otherwise(F.concat(u, F.lit("\n#@x.y")))
+    )
+    return pages(spark, sf_dir).select("page_id", odd.alias("url")).withColumn("canonical", U.canonical_url("url"))
+
+
+@query("url_canonical_involution", "SELECT page_id, url AS back FROM pages")
 def url_canonical_involution(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", (U.canonical_url(U.canonical_url("url")) == F.col("url")).alias("same"))
+    return pages(spark, sf_dir).select("page_id", U.canonical_url(U.canonical_url("url")).alias("back"))
 
 
 @query("url_pieces", f"WITH {_PIECES} SELECT page_id, CAST(pos AS BIGINT) AS pos, piece FROM p")
@@ -190,8 +206,8 @@ def relative_bars(spark, sf_dir):
 @query("distinct_piece_ids", f"WITH {_PIECES}, v AS (SELECT piece, row_number() OVER (ORDER BY piece) - 1 AS id FROM (SELECT DISTINCT piece FROM p)) SELECT page_id, piece, min(id)::BIGINT AS id FROM p JOIN v USING (piece) GROUP BY page_id, piece")
 def distinct_piece_ids(spark, sf_dir):
     p = pieces(spark, sf_dir)
-    ids = p.select("piece").distinct().withColumn("id", F.row_number().over(Window.orderBy("piece")).cast("bigint") - 1)
-    return p.select("page_id", "piece").distinct().join(ids, "piece")
+    ids = quant.running(p.select("piece").distinct(), [], [(quant.prefix("piece"), True)], [F.asc("piece")], F.lit(1).cast("bigint"), "id")
+    return p.select("page_id", "piece").distinct().join(ids.withColumn("id", F.col("id") - 1), "piece")
 
 
 _BIGRAM = _PIECES + """,
@@ -212,6 +228,7 @@ def bigrams(spark, sf_dir):
 
 @query("next_token_dist_topk", f"WITH {_BIGRAM} SELECT ctx, piece, rank::INT AS rank, prob, bits FROM (SELECT ctx, piece, row_number() OVER (PARTITION BY ctx ORDER BY freq DESC, piece) AS rank, round(freq / 16777216, 6) AS prob, round(24 - log2(freq), 2) AS bits FROM bc) WHERE rank <= 5")
 def next_token_dist_topk(spark, sf_dir):
+    """A rank under a bound: Spark keeps five rows of a context in each task before the shuffle, so a hot context stays small."""
     rank = F.row_number().over(Window.partitionBy("ctx").orderBy(F.desc("freq"), "piece"))
     return bigrams(spark, sf_dir).withColumn("rank", rank).where("rank <= 5").select("ctx", "piece", "rank", F.round(F.col("freq") / quant.TOTAL, 6).alias("prob"), F.round(24 - F.log2("freq"), 2).alias("bits"))
 
@@ -219,9 +236,10 @@ def next_token_dist_topk(spark, sf_dir):
 @query("filtered_rank", f"WITH {_BIGRAM} SELECT ctx, piece, rank::INT AS rank, row_number() OVER (PARTITION BY ctx ORDER BY rank)::INT AS place FROM (SELECT ctx, piece, row_number() OVER (PARTITION BY ctx ORDER BY freq DESC, piece) AS rank FROM bc) WHERE contains(lower(piece), 'e')")
 def filtered_rank(spark, sf_dir):
     """The rank is that of the whole distribution; the filter comes after."""
-    rank = F.row_number().over(Window.partitionBy("ctx").orderBy(F.desc("freq"), "piece"))
-    kept = bigrams(spark, sf_dir).withColumn("rank", rank).where(F.lower("piece").contains("e"))
-    return kept.select("ctx", "piece", "rank", F.row_number().over(Window.partitionBy("ctx").orderBy("rank")).alias("place"))
+    one, order = F.lit(1).cast("bigint"), [(F.col("freq"), False), (quant.prefix("piece"), True)]
+    ranked = quant.running(bigrams(spark, sf_dir).select("ctx", "piece", "freq"), ["ctx"], order, [F.asc("piece")], one, "rank")
+    kept = quant.running(ranked.where(F.lower("piece").contains("e")), ["ctx"], order, [F.asc("piece")], one, "place")
+    return kept.select("ctx", "piece", F.col("rank").cast("int").alias("rank"), F.col("place").cast("int").alias("place"))
 
 
 @query("dist_entropy", f"WITH {_BIGRAM} SELECT ctx, count(*) AS symbols, round(sum(-(freq / 16777216) * log2(freq / 16777216)), 6) AS entropy FROM bc GROUP BY ctx")
@@ -236,7 +254,7 @@ def cross_entropy(spark, sf_dir):
     lists = pages(spark, sf_dir).select("page_id", U.url_pieces(U.canonical_url("url")).alias("p"))
     steps = lists.select("page_id", F.explode(F.arrays_zip(F.concat(F.array(F.lit("<eos>")), "p").alias("ctx"), F.concat("p", F.array(F.lit("<eos>"))).alias("piece"))).alias("s")).select("page_id", "s.*")
     counts = steps.groupBy("ctx", "piece").agg(F.count(F.lit(1)).alias("n"))
-    model = counts.withColumn("pr", F.col("n") / F.sum("n").over(Window.partitionBy("ctx"))).drop("n")
+    model = counts.join(counts.groupBy("ctx").agg(F.sum("n").alias("s")), "ctx").select("ctx", "piece", (F.col("n") / F.col("s")).alias("pr"))
     return steps.join(model, ["ctx", "piece"]).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.round(F.sum(-F.log2("pr")), 6).alias("bits"))
 
 
@@ -295,22 +313,22 @@ def frame_emoji_len(spark, sf_dir):
     return bit_strings(spark, sf_dir).select("page_id", F.ceil(whole / 10).alias("glyphs"))
 
 
-@query("frame_roundtrip", "SELECT page_id, CAST(a AS INT) AS alphabet, true AS same FROM pages, (VALUES (0), (1), (3)) t(a)")
+@query("frame_roundtrip", f"WITH {_BITS} SELECT page_id, CAST(a AS INT) AS alphabet, bits, v AS version FROM bs, (VALUES (0), (1), (3)) t(a)")
 def frame_roundtrip(spark, sf_dir):
     """Any-base framing and back, over three alphabets."""
     rows = bit_strings(spark, sf_dir).withColumn("alphabet", F.explode(F.array(*map(F.lit, (0, 1, 3)))))
     coded = rows.withColumn("code", coding.frame(F.col("bits"), F.col("v"), F.col("alphabet")))
     back = coded.withColumn("b", coding.unframe(F.col("code"), F.col("alphabet")))
-    return back.select("page_id", "alphabet", ((F.col("b.bits") == F.col("bits")) & (F.col("b.version") == F.col("v"))).alias("same"))
+    return back.select("page_id", "alphabet", "b.bits", "b.version")
 
 
-@query("coder_bit_length_bound", "SELECT page_id, true AS within FROM pages")
+@query("coder_bit_length_bound", f"WITH {_GRID} SELECT page_id, round(sum(bits), 6) AS ideal, true AS within FROM p JOIN bits USING (piece) GROUP BY page_id")
 def coder_bit_length_bound(spark, sf_dir):
     """Coded with the piece grid, a URL takes at least its information and less than two bits more."""
     grid = piece_grid(spark, sf_dir).select("piece", F.col("cum_lo").alias("lo"), F.col("cum_hi").alias("hi"), "bits")
     rows = pieces(spark, sf_dir).join(grid, "piece").groupBy("page_id").agg(F.sum("bits").alias("ideal"), F.sort_array(F.collect_list(F.struct("pos", "lo", "hi"))).alias("s"))
     coded = rows.withColumn("coded", F.length(coding.code_slices(F.transform("s", lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"))))))
-    return coded.select("page_id", ((F.col("coded") > F.col("ideal") - 1) & (F.col("coded") < F.col("ideal") + 2.1)).alias("within"))
+    return coded.select("page_id", F.round("ideal", 6).alias("ideal"), ((F.col("coded") > F.col("ideal") - 1) & (F.col("coded") < F.col("ideal") + 2.1)).alias("within"))
 
 
 @query("cells_of_bits", f"WITH {_BITS}, w AS (SELECT page_id, '1' || header || bits AS w FROM h), k AS (SELECT page_id, right(repeat('0', 6) || w, CAST(ceil(length(w) / 6) * 6 AS INT)) AS w FROM w) SELECT page_id, i AS cell, substr(w, CAST(6 * i + 1 AS INT), 6) AS six FROM (SELECT page_id, w, unnest(range(0, length(w) // 6)) AS i FROM k)")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,37 +75,53 @@ def adjacent_cosine(spark, sf_dir):
     f"WITH {_V}, q AS (SELECT * FROM v WHERE vec_id % 50 = 0), d AS (SELECT q.vec_id, v.vec_id AS other, sqrt(list_sum(list_transform(range(1, 65), lambda i: power(q.e[i] - v.e[i], 2)))) AS d FROM q JOIN v ON q.vec_id <> v.vec_id) SELECT vec_id, arg_min(other, (round(d, 9), other)) AS nearest, round(min(d), 6) AS distance FROM d GROUP BY vec_id",
 )
 def nearest_vector(spark, sf_dir):
-    """Stated queries (ids divisible by 50) against all rows, in blocks of queries; each block keeps its best by partition."""
+    """Stated queries (ids divisible by 50) against all rows."""
     rows = vectors(spark, sf_dir).select("vec_id", "e")
-    out = None
-    queries = rows.where("vec_id % 50 = 0").withColumn("block", F.floor(F.col("vec_id") / 50 / 4096).cast("int"))
-    for k in [r[0] for r in queries.select("block").distinct().orderBy("block").collect()]:
-        block = queries.where(F.col("block") == k).select("vec_id", "e").collect()
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in block]), np.array([r[1] for r in block], float)))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            least, place = np.full(len(ids), np.inf), np.full(len(ids), -1)
-            for pdf in batches:
-                v, own = np.array(pdf["e"].tolist(), float), pdf["vec_id"].to_numpy()
-                for at in range(0, len(own), 1024):
-                    d = np.sqrt(((q[:, None, :] - v[None, at : at + 1024, :]) ** 2).sum(-1))
-                    d[ids[:, None] == own[None, at : at + 1024]] = np.inf
-                    # ties go to the least id
-                    d, n = np.round(d, 9), own[at : at + 1024]
-                    low = d.min(1)
-                    who = np.where(d == low[:, None], n[None, :], np.iinfo(np.int64).max).min(1)
-                    better = (low < least) | ((low == least) & (who < place))
-                    least, place = np.where(better, low, least), np.where(better, who, place)
-            found = np.isfinite(least)
-            yield pd.DataFrame({"vec_id": ids[found], "nearest": place[found], "distance": least[found]})
-
-        near = rows.mapInPandas(best, "vec_id long, nearest long, distance double")
-        out = near if out is None else out.unionByName(near)
-    if out is None:
-        return spark.createDataFrame([], "vec_id long, nearest long, distance double")
-    pick = out.groupBy("vec_id").agg(F.min(F.struct("distance", "nearest")).alias("b"))
-    return pick.select("vec_id", "b.nearest", F.round("b.distance", 6).alias("distance"))
+    return nearest(rows.where("vec_id % 50 = 0"), rows).select("vec_id", "nearest", F.round("distance", 6).alias("distance"))
+
+
+#: Vectors of a block: a pair of blocks takes some megabytes, whatever the tables.
+BLOCK = 1024
+
+
+def _blocks(rows: DataFrame, ids: str, vectors_: str) -> DataFrame:
+    """Rows (vec_id, e) as blocks of BLOCK vectors, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+                yield pa.record_batch([pa.array([batch.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([flat.astype("<f8").tobytes()], pa.binary())], [ids, vectors_])
+
+    return rows.where("e IS NOT NULL").select(F.col("vec_id").cast("long"), F.col("e").cast("array<double>")).mapInArrow(run, f"{ids} binary, {vectors_} binary")
+
+
+def nearest(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(vec_id, nearest, distance) of queries (vec_id, e) among all rows but their own id; ties at nine decimals go to the least id.
+
+    Blocks of queries meet blocks of rows in one plan. A matrix product finds each query's best of a block up to rounding, and the exact
+    distances of what lies within that decide; the least of all blocks is a partial minimum.
+    """
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, own = (np.frombuffer(batch.column(c)[k].as_buffer(), "<i8") for c in (0, 2))
+                q, v = (np.frombuffer(batch.column(c)[k].as_buffer(), "<f8").reshape(len(n), -1) for c, n in ((1, ids), (3, own)))
+                near = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * (q @ v.T)
+                near[ids[:, None] == own[None, :]] = np.inf
+                low = near.min(1, initial=np.inf)
+                scale = (q * q).sum(1) + (v * v).sum(1).max(initial=0) + 1
+                a, b = np.nonzero((near <= (low + 1e-7 * scale)[:, None]) & np.isfinite(near))
+                d = np.round(np.sqrt(((q[a] - v[b]) ** 2).sum(1)), 9)
+                order = np.lexsort((own[b], d, a))
+                first = order[np.concatenate([[True], a[order][1:] != a[order][:-1]])] if len(order) else order
+                yield pa.record_batch([pa.array(ids[a[first]]), pa.array(own[b[first]]), pa.array(d[first])], ["vec_id", "nearest", "distance"])
+
+    pairs = _blocks(queries, "qi", "qv").crossJoin(_blocks(rows, "ri", "rv"))
+    found = pairs.mapInArrow(best, "vec_id long, nearest long, distance double")
+    return found.groupBy("vec_id").agg(F.min(F.struct("distance", "nearest")).alias("b")).select("vec_id", "b.nearest", "b.distance")
 
 
 @query("top_dims", f"WITH {_V}, x AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS dim FROM v) SELECT vec_id, CAST(dim AS INT) AS dim, round(x, 6) AS x, CAST(r AS INT) AS r FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(x) DESC, dim) AS r FROM x) WHERE r <= 6")
@@ -185,7 +202,7 @@ def pca2_power_iteration(spark, sf_dir):
     return rows.select("vec_id", place(0).alias("x"), place(1).alias("y"))
 
 
-@query("transformer_sizes", "SELECT CAST(246119680 AS BIGINT) AS params, CAST(246087680 AS BIGINT) AS without_norms, CAST(32 AS BIGINT) AS tokens_at, CAST(32 + 8192 * 680 AS BIGINT) AS places_at")
+@query("transformer_sizes", "SELECT CAST(v * d + b * d + l * (2 * d + 4 * d * d + 3 * h * d) + d AS BIGINT) AS params, CAST(v * d + b * d + l * (4 * d * d + 3 * h * d) AS BIGINT) AS without_norms, CAST(32 AS BIGINT) AS tokens_at, CAST(32 + v * (d // 64) * 34 AS BIGINT) AS places_at FROM (SELECT 12::BIGINT AS l, 1280::BIGINT AS d, 8192::BIGINT AS v, 512::BIGINT AS b, 3392::BIGINT AS h)")
 def transformer_sizes(spark, sf_dir):
     """Counts and offsets of the 12-layer configuration, by closed forms."""
     one = spark.range(1).select(*(F.lit(v).cast("bigint").alias(n) for n, v in (("l", 12), ("d", 1280), ("v", 8192), ("b", 512), ("h", 3392))))
