@@ -269,6 +269,25 @@ def wrap_caption(text, width, font) -> Column:
     return F.filter(lines, lambda x, i: (x != "") | ((i > 0) & (i < last)))
 
 
+# --- presets
+
+
+def applied(defaults: dict[str, str], overrides: dict[str, str]) -> dict[str, str]:
+    """A preset's settings: the defaults, then its own; what it does not set is reset."""
+    return {**defaults, **{k: v for k, v in overrides.items() if k in defaults}}
+
+
+def preset_of(defaults: dict[str, str], presets: dict[str, dict[str, str]]) -> Column:
+    """The first preset that a row's settings are exactly, or null; the columns bear the settings' names."""
+    out = F.lit(None).cast("string")
+    for name, own in reversed(presets.items()):
+        same = F.lit(True)
+        for k, v in applied(defaults, own).items():
+            same = same & F.col(k).eqNullSafe(F.lit(v))
+        out = F.when(same, name).otherwise(out)
+    return out
+
+
 # --- consistency
 
 

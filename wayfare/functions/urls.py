@@ -179,6 +179,20 @@ def alphabet_table(spark: SparkSession):
     return spark.createDataFrame(list(ALPHABETS), "alphabet int, name string, size int")
 
 
+def alphabet_of_key(key) -> Column:
+    """An alphabet's id by its key, or by the alias emoji; null for others."""
+    key = _col(key)
+    out = F.when(key == "emoji", F.lit(2))
+    for number, name, _ in ALPHABETS:
+        out = out.when(key == name, F.lit(number))
+    return out
+
+
+def alphabet_of_number(number) -> Column:
+    """The id itself, or the first alphabet's if there is no such."""
+    return F.when(_col(number).isin(*(n for n, _, _ in ALPHABETS)), _col(number).cast("int")).otherwise(0)
+
+
 #: Text functions in SQL: name, parameters, type, body; later ones use those before.
 SQL_FUNCTIONS = (
     ("is_http", "url STRING", "BOOLEAN", "url RLIKE '^(?i)https?://'"),

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import texts as T
+from ..functions import urls as U
+from ..operators.compare import compare
 from .registry import query, table
 
 
@@ -257,3 +259,32 @@ def alphabet_offers(spark, sf_dir):
     """Whether another spelling of a link needs a smaller symbol; versions here grow by forty bits."""
     n = F.length("url")
     return table(spark, sf_dir, "pages").select("page_id", T.smaller_version(F.ceil(n * 8 / 40), F.ceil(n * 5.5 / 40)).alias("gain"))
+
+
+#: Settings of a symbol's look and some presets of them.
+DEFAULTS = {"shape": "square", "level": "M", "margin": "4"}
+PRESETS = {"plain": {}, "round": {"shape": "dots"}, "sturdy": {"level": "H", "margin": "2"}, "both": {"shape": "dots", "level": "H"}}
+
+
+@query("preset_lookup", "SELECT event_id, CASE WHEN shape = 'square' AND level = 'M' AND margin = '4' THEN 'plain' WHEN shape = 'dots' AND level = 'M' AND margin = '4' THEN 'round' WHEN shape = 'square' AND level = 'H' AND margin = '2' THEN 'sturdy' WHEN shape = 'dots' AND level = 'H' AND margin = '4' THEN 'both' END AS preset FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'square' ELSE 'dots' END AS shape, CASE WHEN event_id % 3 = 0 THEN 'M' ELSE 'H' END AS level, CASE WHEN event_id % 5 < 3 THEN '4' ELSE '2' END AS margin FROM events)")
+def preset_lookup(spark, sf_dir):
+    k = F.col("event_id")
+    rows = _events(spark, sf_dir).select("event_id", F.when(k % 2 == 0, "square").otherwise("dots").alias("shape"), F.when(k % 3 == 0, "M").otherwise("H").alias("level"), F.when(k % 5 < 3, "4").otherwise("2").alias("margin"))
+    return rows.select("event_id", T.preset_of(DEFAULTS, PRESETS).alias("preset"))
+
+
+@query("run_compare", "WITH a AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'ERR' ELSE 'OK' END AS status, left(md5(coalesce(text, '')), 16) AS digest FROM documents), b AS (SELECT doc_id, status, CASE WHEN doc_id % 50 = 7 THEN 'off' ELSE digest END AS digest FROM a WHERE doc_id % 13 <> 2) SELECT (SELECT count(*) FROM a) AS cases_a, (SELECT count(*) FROM b) AS cases_b, (SELECT count(*) FROM a FULL JOIN b USING (doc_id) WHERE a.status IS DISTINCT FROM b.status OR a.digest IS DISTINCT FROM b.digest) AS mismatches, CASE WHEN (SELECT count(*) FROM b WHERE status = 'OK' AND digest = 'off') > 0 THEN 'b: no digest' ELSE '' END AS problems")
+def run_compare(spark, sf_dir):
+    """Two runs with their digests: what differs, and what the comparison is worth."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    a = d.select("doc_id", F.when(k % 9 == 0, "ERR").otherwise("OK").alias("status"), F.left(F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.lit(16)).alias("digest"))
+    b = a.where(k % 13 != 2).withColumn("digest", F.when(k % 50 == 7, "off").otherwise(F.col("digest")))
+    return compare(a, b, "doc_id", ["status", "digest"], ["digest"])
+
+
+@query("alphabet_keys", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 2 END AS alphabet, CASE WHEN event_id % 9 IN (1, 2, 3) THEN event_id % 9 ELSE 0 END::INT AS from_number FROM events")
+def alphabet_keys(spark, sf_dir):
+    """Alphabets by key or alias, and by number, where an unknown one is the first."""
+    k = F.col("event_id")
+    key = F.element_at(F.array(*(F.lit(x) for x in ("base79", "base64url", "emoji-1k", "qr-alpha", "emoji", "other"))), (k % 6 + 1).cast("int"))
+    return _events(spark, sf_dir).select("event_id", U.alphabet_of_key(key).alias("alphabet"), U.alphabet_of_number(k % 9).alias("from_number"))

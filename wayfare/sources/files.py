@@ -63,6 +63,16 @@ def verified(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     return manifest.join(files, "name", "left").withColumn("error", error).withColumn("ok", F.col("error").isNull()).drop("_n", "_d")
 
 
+def export(df: DataFrame, path: str, force: bool = False) -> None:
+    """Write a table once; an existing one is replaced only by force. Spark commits a write as a whole."""
+    df.write.mode("overwrite" if force else "errorifexists").parquet(path)
+
+
+def located(flag: Column, environment: Column, embedded: Column) -> Column:
+    """Where a file is: as asked for, else as the environment says (if it says anything), else as built in."""
+    return F.coalesce(flag, F.nullif(environment, F.lit("")), embedded)
+
+
 def chunk_table(files: DataFrame, chunk: int = 8 << 20) -> DataFrame:
     """(name, idx, start, bytes, sha256, chunk_name) of binaryFile rows: names carry the file's digest and the chunk size."""
     digest = F.sha2("content", 256)
