@@ -114,6 +114,10 @@ def test_hashes_tell_structured_texts_apart():
         data = np.frombuffer("".join(thue_morse(n)).encode(), np.uint8)
         x = span_hashes(data, np.array([0, n]), np.array([n, 2 * n]))
         assert x[0] != x[1] and x[1] == span_hashes(data[n:], np.array([0]), np.array([n]))[0]
+    # a span's hash does not depend on what is hashed with it
+    data = np.frombuffer(b"short" + b"x" * 500 + b"short", np.uint8)
+    together = span_hashes(data, np.array([0, 5, 505]), np.array([5, 505, 510]))
+    assert together[0] == together[2] == span_hashes(data, np.array([0]), np.array([5]))[0] and together[1] == span_hashes(data, np.array([5]), np.array([505]))[0]
     rng = np.random.default_rng(1)
     data = rng.integers(0, 3, 4000).astype(np.uint8)
     a = rng.integers(0, 3800, 5000)

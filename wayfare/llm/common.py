@@ -161,9 +161,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     place = np.arange(int(sizes.sum()), dtype=kind) - np.repeat(first.astype(kind), sizes)
     at = place + np.repeat(starts.astype(kind), sizes)
     sums = np.add.reduceat(_TABLE[(place << kind(8)) | data[at]], first)
-    if one:
-        return mix(sums + lengths.astype(np.uint64))
-    return mix(np.add.reduceat(mix(sums + number.astype(np.uint64) * np.uint64(_BASE), 3), owner) + lengths.astype(np.uint64))
+    if not one:  # a span of one stretch has the same hash whatever stands beside it
+        mixed = np.add.reduceat(mix(sums + number.astype(np.uint64) * np.uint64(_BASE), 3), owner)
+        sums = np.where(stretches > 1, mixed, sums[owner])
+    return mix(sums + lengths.astype(np.uint64))
 
 
 def words(data: np.ndarray, offs: np.ndarray, lower: bool = True):

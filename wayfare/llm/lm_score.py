@@ -154,6 +154,8 @@ class _Sum:
         self.held = self.base = 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        if not len(keys):
+            return
         self.parts.append((keys, counts.astype(np.uint64)))
         self.held += len(keys)
         if self.held > 2 * self.base + 1_000_000:
