@@ -11,19 +11,27 @@ from .common import cut
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable from each id of links (a, b); ids without a link are absent.
 
-    Each round takes the least label among the neighbours (summed on the map side first) and then the label of the label,
-    so that the rounds grow with the logarithm of a component's diameter. Every round is a table in the shared folder.
+    Each round gives every node the least label among itself and its neighbours, then the label's label; links are drawn anew between the
+    labels, and those inside one label are done with. So the links shrink from round to round, whose number grows with the logarithm
+    of a component's diameter. Every round is a table in the shared folder.
     """
-    both = cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("component")), "labels")
+    edges = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
+    found = None
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
-        over = labels.select(F.col("id").alias("mid"), F.col("component").alias("far"))
-        now = cut(step.join(over, "mid", "left").select("id", "old", F.least("mid", "far").alias("component")), "labels")
-        labels = now.select("id", "component")
-        if not now.where("old <> component").limit(1).count():
-            return labels
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("mid")), "labels")
+        far = low.select(F.col("id").alias("mid"), F.col("mid").alias("far"))
+        step = cut(low.join(far, "mid").select("id", F.col("far").alias("component")), "labels")
+        if found is None:
+            found = step
+        else:  # nodes whose label was not looked at keep it
+            now = step.select(F.col("id").alias("component"), F.col("component").alias("_now"))
+            found = cut(found.join(now, "component", "left").select("id", F.coalesce("_now", "component").alias("component")), "labels")
+        name = {side: step.select(F.col("id").alias(side), F.col("component").alias(f"c{side}")) for side in "ab"}
+        drawn = edges.join(name["a"], "a").join(name["b"], "b").where("ca <> cb")
+        edges = cut(drawn.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "links")
+        if edges.isEmpty():
+            return found
 
 
 def joined_components(found: DataFrame, more: DataFrame) -> DataFrame:

@@ -7,14 +7,16 @@ first filled bucket in a fixed random order of the bucket's own, so that the ord
 
 1. Equal sets are one class (size and a 128-bit digest); from here on one representative stands for its class.
 2. BANDS bands of ROWS registers give buckets. Documents of 80 % similarity share none with probability 3e-7.
-3. Within a bucket, each document is compared with two leaders (the least id, and the least id in a scrambled order).
+3. Within a bucket, each document is compared with a leader, the least id, and where that leaves them in two components with
+   a second one, the least id in a scrambled order.
 4. A pair is estimated from the registers, corrected for chance collisions of registers, and dropped only if the estimate
    lies five standard errors below the threshold; the rest is confirmed on the full sets.
-5. Components of the links so far are found. Documents of buckets that still hold two components are compared across
+5. Components of the links are found after each. Documents of buckets that still hold two components are compared across
    components: two similar sets share one of the first n - ceil(0.8 n) + 1 shingles of each in any fixed order, and in the
    order of rising frequency among these documents (a table of COUNTERS counters, whose collisions only change the order)
-   those are rare; shingles that no other document has are left out, and the places of a shared one bound the overlap. The pairs are confirmed in the same way. So no link
-   that could join two components is lost, and a group of n near copies costs about 2n comparisons, not n squared.
+   those are rare; shingles that no other document has are left out, and the places of a shared one bound the overlap.
+   The pairs are confirmed in the same way. So no link between documents that share a bucket and could join two
+   components is lost, and a group of n near copies costs about 2n comparisons, not n squared.
 
 Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case. Defined results: documents without words have an empty set and are
 linked with nothing; rows that share a doc_id are one document, whose set is
@@ -272,15 +274,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     rows = full.select("id", "bands").join(reps, "id", "left_semi").select("id", F.explode("bands").alias("band"))
     leaders = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("l1"), F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("l2")).where("n > 1").drop("n")
     shared = cut(rows.join(leaders, "band"), "buckets")
-    pairs = shared.select("id", F.explode(F.array("l1", "l2")).alias("lead")).where("id <> lead")
-    pairs = cut(pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), "pairs")
     # from here on, only documents that share a bucket are read
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "candidates")
+    ids = cut(shared.select("id").distinct(), "candidates")
     near_sk = cut(sk.select("id", "n_shingles", "regs").join(ids, "id", "left_semi"), "near-sketches")
     near = cut(own.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), "near-texts")
-    likely = _likely(pairs, near_sk, percent, "likely")
-    sets = _sets(near, likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), shingle, "sets", chosen)
-    found = components(cut(_confirmed(likely, sets, percent), "links"))
+    found, pairs = None, None
+    for lead in ("l1", "l2"):  # the second leaders only where the first ones left a document and its leader apart
+        rows = shared.select("id", F.col(lead).alias("lead")).where("id <> lead").distinct()
+        if found is not None:
+            name = {side: found.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}")) for side in ("id", "lead")}
+            rows = rows.join(name["id"], "id", "left").join(name["lead"], "lead", "left").where("coalesce(c_id, id) <> coalesce(c_lead, lead)")
+        own_pairs = rows.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+        own_pairs = cut(own_pairs if pairs is None else own_pairs.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        pairs = own_pairs if pairs is None else pairs.unionByName(own_pairs)
+        likely = _likely(own_pairs, near_sk, percent, "likely")
+        sets = _sets(near, likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), shingle, "sets", chosen)
+        links = cut(_confirmed(likely, sets, percent), "links")
+        found = components(links) if found is None else joined_components(found, links)
     placed = shared.select("band", "id").join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     # what is left: documents of buckets in which two components meet
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
