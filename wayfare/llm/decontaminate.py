@@ -27,6 +27,8 @@ WINDOW, MIN_WORDS = 16, 5
 #: Bytes of benchmark text that one broadcast holds. A larger benchmark goes in blocks, each with its own pass over the documents.
 BLOCK_BYTES = 16 << 20
 _BITS = 22
+#: Pairs of a window and a benchmark seed that are looked at together.
+HITS = 1 << 20
 
 
 def allowed(n: int) -> int:
@@ -88,9 +90,17 @@ class Index:
                 if not len(at):
                     continue
                 docs = doc_numbers(offs) if docs is None else docs
-                slot = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
-                place = first[np.repeat(at, hi - lo)]
-                found.append(np.stack([docs[place], items[slot], place - starts[slot]], 1))
+                # a seed may stand in many items: HITS at a time, so that a chunk's memory is bounded
+                sizes = hi - lo
+                ends = np.cumsum(sizes)
+                a = 0
+                while a < len(at):
+                    b = max(a + 1, int(np.searchsorted(ends, ends[a] - sizes[a] + HITS, "right")))
+                    n_own = sizes[a:b]
+                    slot = np.repeat(lo[a:b] - (np.cumsum(n_own) - n_own), n_own) + np.arange(int(n_own.sum()))
+                    place = first[np.repeat(at[a:b], n_own)]
+                    found.append(np.unique(np.stack([docs[place], items[slot], place - starts[slot]], 1), axis=0))
+                    a = b
         if not found:
             return []
         best: dict[tuple, tuple] = {}
