@@ -143,6 +143,9 @@ def test_decontamination(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     wanted = brute_leaks(rows, items)
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()} == wanted and len(wanted) > 20
+    monkeypatch.setattr(decontaminate, "HITS", 3)  # a seed of many items, a few at a time
+    index = decontaminate.Index(items)
+    assert {(rows[r[0]][0], r[1]) for r in decontaminate._scan(index, pa.array([t for _, t in rows], pa.string()))} == wanted
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()} == wanted
     assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()} == {i for i, _ in rows} - {i for i, _ in wanted}
