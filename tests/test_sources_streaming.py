@@ -3,9 +3,11 @@
 import datetime as dt
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from wayfare.operators import transformer
+from wayfare.operators.tokenizer import Tokenizer
 from wayfare.plans.events import throttle
 from wayfare.sources import files
 from wayfare.streaming import events as S
@@ -35,12 +37,30 @@ def test_chunks_and_manifest(spark, tmp_path):
     config = (1, 2, 64, 257, 8, 64)
     (tmp_path / "m.nurl").write_bytes(transformer.pack(transformer.synthetic(config)))
     assert files.load_weights(spark, str(tmp_path / "m.nurl")).config == config
-    assert files.weight_rows(spark, str(tmp_path / "m.nurl")).count() == 257
+    model = files.load_weights(spark, str(tmp_path / "m.nurl"))
+    got = {(r.row, r.grp): (r.scale, r.codes) for r in files.weight_rows(spark, str(tmp_path / "m.nurl")).collect()}
+    assert len(got) == 257 and all(got[r, 0] == (float(model.wte.scales[r, 0]), model.wte.codes[r, 0].tolist()) for r in (0, 100, 256))
+
+
+def test_export_and_locate(spark, tmp_path):
+    path = str(tmp_path / "once")
+    files.export(spark.range(3), path)
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        files.export(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 3
+    files.export(spark.range(5), path, force=True)
+    assert spark.read.parquet(path).count() == 5
+    rows = spark.createDataFrame([("f", "e", "b"), (None, "e", "b"), (None, "", "b")], "f string, e string, b string")
+    assert [r[0] for r in rows.select(files.located(F.col("f"), F.col("e"), F.col("b"))).collect()] == ["f", "e", "b"]
 
 
 def test_tokenizer_and_rules(spark, tmp_path):
     (tmp_path / "t.json").write_text('{"model": {"vocab": {"<eos>": 0, "a": 1, "b": 2, "ab": 3}, "merges": ["a b", ["b", "a"]]}}')
     vocab, merges = files.tokenizer_tables(spark, str(tmp_path / "t.json"))
+    own = Tokenizer.of_tables(vocab, merges)
+    assert own.encode("abab") == [3, 3] and own.decode([3, 1]) == "aba"
+    with pytest.raises(ValueError, match="no token"):
+        own.encode("c")
     assert vocab.count() == 4 and [(r.rank, r.a, r.b) for r in merges.orderBy("rank").collect()] == [(0, "a", "b"), (1, "b", "a")]
     assert files.header_rules("/*\n  A: b: c\n  ! D\n") == [(0, "/*", "A", "b: c", None), (1, "/*", None, None, "D")]
     assert files.nginx_map('map $uri $x { default "a"; ~*\\.bin$ "b"; }') == ([(0, "~*\\.bin$", "b")], "a")

@@ -98,10 +98,23 @@ def load_weights(spark: SparkSession, path: str) -> transformer.Model:
 
 
 def weight_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(row, grp, scale, codes) of the token table of a packed file, for analysis."""
-    model = load_weights(spark, path)
-    rows = [(r, g, float(model.wte.scales[r, g]), [int(c) for c in model.wte.codes[r, g]]) for r in range(len(model.wte.codes)) for g in range(model.wte.codes.shape[1])]
-    return spark.createDataFrame(rows, "row int, grp int, scale float, codes array<int>")
+    """(row, grp, scale, codes) of the token table of a packed file, for analysis; the file is parsed by a task."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                table = transformer.unpack(content.as_py()).wte
+                groups = table.codes.shape[1]
+                for at in range(0, len(table.codes), 256):
+                    codes, scales = table.codes[at : at + 256], table.scales[at : at + 256]
+                    flat = codes.reshape(-1, codes.shape[2]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
+                    rows = np.repeat(np.arange(at, at + len(codes), dtype=np.int32), groups)
+                    yield pa.record_batch([pa.array(rows), pa.array(np.tile(np.arange(groups, dtype=np.int32), len(codes))), pa.array(scales.ravel().astype(np.float32)), lists], ["row", "grp", "scale", "codes"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "row int, grp int, scale float, codes array<int>")
 
 
 def tokenizer_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
