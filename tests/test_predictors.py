@@ -131,3 +131,47 @@ def test_evaluation(spark):
         P.evaluate(texts, "u", model, tokens=Wrong).collect()
     small, big = P.train_counts(texts, "u"), P.train_counts(texts, "u", size=2000)
     assert small.two and not big.two and big.none[:257].tolist() == small.none.tolist()
+
+
+def test_command_line(capsys):
+    import json
+
+    from wayfare import cli
+
+    assert cli.main(["encode", "https://a.b/c", "--alphabet", "3"]) == 0
+    code = capsys.readouterr().out.strip()
+    assert cli.main(["decode", code, "--alphabet", "3", "--json"]) == 0
+    assert json.loads(capsys.readouterr().out)["text"] == "https://a.b/c"
+    assert cli.main(["encode", " "]) == 1 and cli.main(["decode", "é", "--json"]) == 1
+    assert json.loads(capsys.readouterr().out)["ok"] is False
+    assert cli.main(["fold", "x"]) == 2
+
+
+def test_recovery():
+    import threading
+
+    from wayfare.operators.recover import POISONED, Recovering
+
+    made = []
+
+    def build():
+        made.append(len(made))
+        return made[-1]
+
+    r = Recovering(build)
+    assert r.call(lambda x: {"ok": True, "on": x})["on"] == 0
+    assert r.call(lambda x: {"ok": True, "on": x} if x else {"ok": False, "code": POISONED}) == {"ok": True, "on": 1} and r.builds == 2
+    assert r.call(lambda x: {"ok": False, "code": "other"}) == {"ok": False, "code": "other"} and r.builds == 2
+    assert r.call(lambda x: {"ok": False, "code": POISONED})["ok"] is False and r.builds == 3  # a second fault is handed on
+    gate, got = threading.Barrier(4), []
+
+    def hit(x):
+        if x == 2:
+            gate.wait(10)
+            return {"ok": False, "code": POISONED}
+        return {"ok": True, "on": x}
+
+    threads = [threading.Thread(target=lambda: got.append(r.call(hit))) for _ in range(4)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert got == [{"ok": True, "on": 3}] * 4 and r.builds == 4  # one rebuild for all that the fault hit

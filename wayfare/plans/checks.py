@@ -228,10 +228,24 @@ _REPORT = "SELECT o_orderkey, 'fp32: ' || (o_orderkey % 5) || '.' || (1000 + o_o
 )
 def eval_report(spark, sf_dir):
     """Figures out of report texts; the last line may be absent."""
+    return _reports(spark, sf_dir).select("o_orderkey", "r.*")
+
+
+def _reports(spark, sf_dir):
     k = F.col("o_orderkey")
     real = F.when(k % 2 == 0, F.format_string("\nkernel: 1.25 bits/char (checked) over %d URLs", k % 500)).otherwise("")
     report = F.concat(F.format_string("fp32: %d.%d bits/char over %d URLs (%d skipped)\nkernel_sim(int4): %d.5 bits/char", k % 5, 1000 + k % 9000, k * 7, k % 13, k % 3), real)
-    return table(spark, sf_dir, "orders").select("o_orderkey", T.eval_figures(report).alias("r")).select("o_orderkey", "r.*")
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.eval_figures(report).alias("r"))
+
+
+@query("manifest_checks", "SELECT o_orderkey, o_orderkey % 10 <> 3 AS size_agrees, o_orderkey % 4 <> 1 AS digest_fine FROM orders")
+def manifest_checks(spark, sf_dir):
+    """A manifest against a report and an artifact: the sizes add up, and the digest is one. Some manifests here are made wrong."""
+    k = F.col("o_orderkey")
+    wrong = F.when(k % 10 == 3, 1).otherwise(0)
+    manifest = F.to_json(F.struct(F.struct((k * 7 + k % 13 + wrong).alias("urls"), F.when(k % 4 == 1, F.lit("ABC")).otherwise(F.sha2(k.cast("string"), 256)).alias("sha256")).alias("data")))
+    rows = _reports(spark, sf_dir).withColumn("m", manifest)
+    return rows.select("o_orderkey", (T.required("m", "data.urls", "number") == F.col("r.scored") + F.col("r.skipped")).alias("size_agrees"), T.required("m", "data.sha256").rlike("^[0-9a-f]{64}$").alias("digest_fine"))
 
 
 @query("alignment_centres", "WITH s(size, coords) AS (VALUES (25, [6, 18]), (45, [6, 22, 38]), (145, [6, 34, 60, 86, 112, 138])) SELECT size, r, c FROM (SELECT size, unnest(coords) AS r, coords FROM s) JOIN (SELECT size AS s2, unnest(coords) AS c FROM s) ON size = s2 WHERE NOT ((r = 6 AND c = 6) OR (r = 6 AND c = size - 7) OR (r = size - 7 AND c = 6))")
