@@ -126,6 +126,30 @@ def test_hashes_tell_structured_texts_apart():
     assert len(set(got.tolist())) == len(set(wanted)) == len({*zip(got.tolist(), wanted, strict=True)})
 
 
+def test_operators_tell_structured_words_apart(spark):
+    """Words whose polynomial hashes agree are different words to near-dedup, decontamination and the language model."""
+    from wayfare.llm import decontaminate
+
+    a, b = thue_morse(1024)
+    df = spark.createDataFrame([(1, f"{a} x y z u"), (2, f"{b} x y z u")], "doc_id long, text string")
+    assert sorted(r.component_id for r in near_dedup.near_duplicates(df, 5).collect()) == [1, 2]
+    bench = spark.createDataFrame([(7, f"{a} {a} {a} x y z u")], "item_id long, text string")
+    texts = spark.createDataFrame([(1, f"{a} {a} {a} x y z u"), (2, f"{b} {b} {b} x y z u")], "doc_id long, text string")
+    assert [r.doc_id for r in decontaminate.find_leaks(texts, bench).collect()] == [1]
+    assert {r.doc_id: r.n_known for r in lm_score.score(df, F.col("doc_id") == 1).collect()} == {1: 6, 2: 5}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from wayfare.llm import common
+
+    session = lambda master, where: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: where, set=lambda k, v: None), sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(session("local-cluster[2,1,512]", None))
+    assert common.shared_dir(session("yarn", "hdfs://x/y/")) == "hdfs://x/y" and common.shared_dir(session("local[2]", None)).startswith("file:///")
+
+
 def test_known_loses_nothing():
     known, rng, wanted = pieces.Known(bits=4), np.random.default_rng(3), {}
     for _ in range(30):

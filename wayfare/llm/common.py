@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors see; a local one is made only in local mode (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
