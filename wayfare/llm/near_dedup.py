@@ -163,32 +163,41 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, name: str, chosen: D
     return cut(rows.dropDuplicates(["id"]).select("id", "set"), name)
 
 
+def _possible(regs: list[pa.Array], sizes: list[pa.Array], percent: int) -> np.ndarray:
+    """Whether the sizes and the estimate from the registers leave it open that two sets are similar, by row."""
+    regs = [np.frombuffer(b"".join(r.to_pylist()), np.uint16).reshape(-1, REGISTERS) for r in regs]
+    sizes = [n.to_numpy(zero_copy_only=False).astype(float) for n in sizes]
+    guess, error = estimate(*regs, *sizes)
+    return (100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)) & (guess >= percent / 100 - 5 * error)
+
+
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) whose registers do not rule out that their sets are similar."""
     for side in "ab":
         pairs = pairs.join(sketches.select(F.col("id").alias(side), F.col("regs").alias(f"r{side}"), F.col("n_shingles").alias(f"n{side}")), side)
-    low = percent / 100
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in (2, 3)]
-                sizes = [batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (4, 5)]
-                guess, error = estimate(*regs, *sizes)
-                possible = 100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)
-                yield batch.select([0, 1]).filter(pa.array(possible & (guess >= low - 5 * error)))
+                yield batch.select([0, 1]).filter(pa.array(_possible(batch.columns[2:4], batch.columns[4:6], percent)))
 
     return cut(pairs.select("a", "b", "ra", "rb", "na", "nb").transform(map_batches, near, "a long, b long"), name)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, sketches: DataFrame | None = None) -> DataFrame:
+    """The pairs whose full sets are similar; with sketches, the registers are asked first, in the same pass."""
+    columns = {"set": "s"}
+    if sketches is not None:
+        sets = sets.join(sketches.select("id", "regs", "n_shingles"), "id")
+        columns |= {"regs": "r", "n_shingles": "n"}
     for side in "ab":
-        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("set").alias(f"s{side}")), side)
+        pairs = pairs.join(sets.select(F.col("id").alias(side), *(F.col(c).alias(f"{k}{side}") for c, k in columns.items())), side)
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if batch.num_rows and batch.num_columns > 4:
+                batch = batch.filter(pa.array(_possible(batch.columns[4:6], batch.columns[6:8], percent)))
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
@@ -197,7 +206,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "sa", "sb").transform(map_batches, same, "a long, b long")
+    return pairs.select("a", "b", *(f"{k}{side}" for k in columns.values() for side in "ab")).transform(map_batches, same, "a long, b long")
 
 
 def _frequencies(sets: DataFrame) -> np.ndarray:
@@ -297,7 +306,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     left = cut(placed.join(mixed, "band", "left_semi").select("id", "component").distinct(), "mixed")
     sets = _sets(near, left.select("id"), shingle, "mixed-sets", chosen)
     across = _prefix_pairs(sets, left, percent).join(pairs, ["a", "b"], "left_anti")
-    more = _confirmed(_likely(cut(across, "across"), near_sk, percent, "across-likely"), sets, percent)
+    more = _confirmed(cut(across, "across"), sets, percent, near_sk)
     found = joined_components(found, cut(more, "links-across"))
     member = full.select("id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"]).select("id", "n_shingles", "class_id")
     member = member.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
