@@ -88,6 +88,41 @@ def test_chaining_of_a_block_of_half_the_default(spark):
     assert np.array_equal(long.logits(5), again.logits(5))  # the block is full, so the first half is forgotten
 
 
+def test_texts_that_step_together(spark, monkeypatch):
+    """Many texts take the steps of the longest alone, with the codes that each text gets by itself."""
+    times, calls = T.Matrix.times, []
+    monkeypatch.setattr(T.Matrix, "times", lambda self, x: calls.append(1) or times(self, x))
+    rng = np.random.default_rng(3)
+    for config in ((1, 2, 64, 300, 16, 64), (2, 5, 320, 257, 8, 64)):
+        predictor = T.TransformerPredictor(T.synthetic(config))
+        texts = [[int(t) for t in rng.integers(1, config[3], n)] for n in (40, 0, 1, 7, 8, 9, 16, 17, 23, *range(30))]
+        alone = [P.encode_text(predictor, t) for t in texts]
+        calls.clear()
+        P.encode_text(predictor, texts[0])
+        longest = len(calls)
+        calls.clear()
+        assert list(P.encode_texts(predictor, texts)) == alone and len(calls) == longest
+        calls.clear()
+        bits = [b for b, _ in alone]
+        assert list(P.decode_texts(predictor, bits)) == texts and len(calls) == longest
+        monkeypatch.setattr(T, "ROWS", 4)
+        assert list(P.encode_texts(predictor, texts)) == alone and list(P.decode_texts(predictor, bits)) == texts
+        monkeypatch.undo()
+        monkeypatch.setattr(T.Matrix, "times", lambda self, x: calls.append(1) or times(self, x))
+        endless = P._decode_block(predictor, bits[:3], most=5)
+        assert [str(x) if isinstance(x, ValueError) else x for x in endless] == [P.NO_END, [], texts[2]]
+
+
+def test_transformer_rows_of_one_file_are_dealt_out(spark, tmp_path):
+    from wayfare.plans import codec
+
+    rows = [(k, f"https://com.a/{k}") for k in range(300)] + [(300, None), (301, "")]
+    spark.createDataFrame(rows, "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    out = codec.transformer_roundtrip(spark, str(tmp_path))
+    assert out.select("page_id", "text").rdd.glom().map(len).filter(lambda n: n > 0).count() > 1
+    assert {tuple(r) for r in out.select("page_id", "text").collect()} == set(rows)
+
+
 def test_tokenizer_against_the_library(spark):
     import json
 

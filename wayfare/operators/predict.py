@@ -2,7 +2,8 @@
 
 A predictor is fed one token at a time and gives the weights of all tokens for the next place. Two are built in: `CountPredictor`,
 trained by Spark on a table of texts (our own stand-in, byte tokens with two bytes of context), and the transformer of
-`transformer`. Texts are coded row by row inside Arrow batches: each step needs the symbol before.
+`transformer`. Texts are coded inside Arrow batches: each step needs the symbol before. A predictor with `rows` takes a step of many
+texts at once, which gives the same codes.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from .coding import Decoder, Encoder, SplitMix, bits_to_code, code_to_bits, digi
 
 END = 0
 MAX_TOKENS = 65536
+NO_END = "no end within the token limit"
 #: A model over more tokens than this looks back one token instead of two, so that its contexts stay bounded (TOKENS**2, or the vocabulary).
 TOKENS = 1024
 #: Contexts whose grid a worker remembers.
@@ -30,10 +32,18 @@ GRIDS = 8192
 
 def grid(weights: np.ndarray) -> np.ndarray:
     """Cumulative frequencies (n + 1 values, the last TOTAL); each symbol has one slot at least, the first heaviest gets the rest."""
-    share = weights / np.cumsum(weights)[-1]
-    freq = np.trunc(share * (TOTAL - len(weights))).astype(np.int64) + 1
-    freq[int(np.argmax(share))] += TOTAL - int(freq.sum())
-    return np.concatenate([[0], np.cumsum(freq)])
+    return grids(weights[None])[0]
+
+
+def grids(weights: np.ndarray) -> np.ndarray:
+    """The grid of each row."""
+    n, size = weights.shape
+    share = weights / np.cumsum(weights, axis=1)[:, -1:]
+    freq = (share * (TOTAL - size)).astype(np.int64) + 1
+    freq[np.arange(n), share.argmax(1)] += TOTAL - freq.sum(1)
+    out = np.zeros((n, size + 1), np.int64)
+    np.cumsum(freq, axis=1, out=out[:, 1:])
+    return out
 
 
 class CountPredictor:
@@ -157,7 +167,72 @@ def decode_bits(predictor, bits: str, most: int = MAX_TOKENS) -> list[int]:
         decoder.update(int(cum[token]), int(cum[token + 1]))
         out.append(token)
         before = token
-    raise ValueError("no end within the token limit")
+    raise ValueError(NO_END)
+
+
+def _in_blocks(run, predictor, rows: list) -> Iterator:
+    most = predictor.most_rows()
+    for k in range(0, len(rows), most):
+        yield from run(predictor, rows[k : k + most])
+
+
+def _encode_block(predictor, texts: list[list[int]]) -> list[tuple[str, list[tuple]]]:
+    texts = [[*tokens, END] for tokens in texts]
+    encoders, out = [Encoder() for _ in texts], [[] for _ in texts]
+    rows, left, before, k = predictor.rows(len(texts)), np.arange(len(texts)), np.full(len(texts), END), 0
+    while len(left):
+        cum = grids(rows.feed(before))
+        before, place = np.array([texts[i][k] for i in left]), np.arange(len(left))
+        for i, token, lo, hi in zip(left.tolist(), before.tolist(), cum[place, before].tolist(), cum[place, before + 1].tolist(), strict=True):
+            encoders[i].encode(lo, hi)
+            out[i].append((token, lo, hi, len(encoders[i].bits), encoders[i].pending))
+        k += 1
+        on = np.array([k < len(texts[i]) for i in left])
+        if not on.all():
+            left, before = left[on], before[on]
+            rows.keep(np.flatnonzero(on))
+    return [(encoder.finish(), steps) for encoder, steps in zip(encoders, out, strict=True)]
+
+
+def encode_texts(predictor, texts: list[list[int]]) -> Iterator[tuple[str, list[tuple]]]:
+    """encode_text of each text."""
+    if hasattr(predictor, "rows"):
+        return _in_blocks(_encode_block, predictor, texts)
+    return (encode_text(predictor, tokens) for tokens in texts)
+
+
+def _decode_block(predictor, bits: list[str], most: int = MAX_TOKENS) -> list[list[int] | ValueError]:
+    decoders, out = [Decoder(b) for b in bits], [[] for _ in bits]
+    rows, left, before = predictor.rows(len(bits)), np.arange(len(bits)), np.full(len(bits), END)
+    for _ in range(most):
+        if not len(left):
+            break
+        cum = grids(rows.feed(before))
+        targets = np.array([decoders[i].target() for i in left])
+        before, place = (cum <= targets[:, None]).sum(1) - 1, np.arange(len(left))
+        for i, token, lo, hi in zip(left.tolist(), before.tolist(), cum[place, before].tolist(), cum[place, before + 1].tolist(), strict=True):
+            if token != END:
+                decoders[i].update(lo, hi)
+                out[i].append(token)
+        if not (on := before != END).all():
+            left, before = left[on], before[on]
+            rows.keep(np.flatnonzero(on))
+    for i in left:
+        out[i] = ValueError(NO_END)
+    return out
+
+
+def _decode_each(predictor, bits: list[str]) -> Iterator[list[int] | ValueError]:
+    for b in bits:
+        try:
+            yield decode_bits(predictor, b)
+        except ValueError as e:
+            yield e
+
+
+def decode_texts(predictor, bits: list[str]) -> Iterator[list[int] | ValueError]:
+    """decode_bits of each; errors are values."""
+    return _in_blocks(_decode_block, predictor, bits) if hasattr(predictor, "rows") else _decode_each(predictor, bits)
 
 
 ENCODED = "canonical string, code string, bits string, n_tokens long, model_bits double, url_bytes long, bits_per_char double, pieces array<struct<piece:string,bits:double,clo:double,chi:double,emit:int,pend:int>>"
@@ -173,12 +248,14 @@ def encode(df: DataFrame, column: str, predictor, alphabet: int = 1, version: in
         model = shared.value
         for texts in batches:
             rows = []
-            for text in texts:
-                own = None if text is None else tokens.encode(text)
-                if own is None or len(own) > most:
+            ids = [None if text is None else tokens.encode(text) for text in texts]
+            ids = [None if own is None or len(own) > most else own for own in ids]
+            coded = encode_texts(model, [own for own in ids if own is not None])
+            for text, own in zip(texts, ids, strict=True):
+                if own is None:
                     rows.append((None,) * 8)
                     continue
-                bits, steps = encode_text(model, own)
+                bits, steps = next(coded)
                 cost = [24 - math.log2(hi - lo) for _, lo, hi, *_ in steps]
                 pieces = [{"piece": tokens.piece(t), "bits": round(c, 2), "clo": round(lo / TOTAL, 9), "chi": round(hi / TOTAL, 9), "emit": e, "pend": p} for (t, lo, hi, e, p), c in zip(steps, cost, strict=True)]
                 size = len(text.encode())
@@ -197,15 +274,24 @@ def decode(df: DataFrame, column: str, predictor, alphabet: int = 1, version: in
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for codes in batches:
-            rows = []
+            rows, known = [], []
             for code in codes:
                 try:
                     own, bits = code_to_bits(code or "", digits)
                     if own != version:
                         raise ValueError(f"stream version {own} is not {version}")
-                    rows.append((tokens.decode(decode_bits(model, bits)), own, None))
-                except (ValueError, UnicodeDecodeError) as e:
+                    known.append(bits)
+                    rows.append(None)
+                except ValueError as e:
                     rows.append((None, None, str(e)))
+            ids = decode_texts(model, known)
+            for k, row in enumerate(rows):
+                if row is None:
+                    own = next(ids)
+                    try:
+                        rows[k] = (None, None, str(own)) if isinstance(own, ValueError) else (tokens.decode(own), version, None)
+                    except ValueError as e:
+                        rows[k] = (None, None, str(e))
             yield pd.DataFrame(rows, columns=["text", "version", "error"]).astype({"version": "Int32"})
 
     raw = df.withColumn("_raw", run(F.col(column)))
