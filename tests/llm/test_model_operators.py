@@ -194,6 +194,29 @@ def test_bpe(spark):
     assert bpe.encode_and_decode(df.limit(0), path).count() == 0
 
 
+def test_bpe_reads_shared_words_in_place():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    path, many = P.path("byte_bpe_multi_50k.tiktoken"), 1_000_000
+    shared = np.full(many, 3, np.uint8), np.arange(0, 3 * many, 3, dtype=np.uint32), (np.arange(3 * many) % 50_000).astype(np.uint16)
+    numbers, words = np.array([many, 1, many - 1, many + 1], np.int32), [[7], [8, 9]]
+
+    def row(ids, base, words):
+        parts = [pa.array([ids], pa.list_(pa.int64())), pa.array([np.array([0, 3, 4]).tobytes()]), pa.array([numbers.tobytes()]), pa.array([base], pa.int64()), pa.array([words], pa.list_(pa.list_(pa.int32()))), pa.array([[]], pa.list_(pa.binary()))]
+        return pa.record_batch(parts, ["ids", "offs", "numbers", "base", "words", "long"])
+
+    rows = [row([1, 2], many, words), row([3, 4], many + 2, []), row([5, 6], many, words[::-1])]  # the last one's task numbers anew
+    bpe._tokens(path)
+    tracemalloc.start()
+    out = [np.frombuffer(x.as_py(), "<u4").tolist() for b in bpe._assemble(path, SimpleNamespace(value=shared))(iter(rows)) for x in b.column(2)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    last = [(3 * many - k) % 50_000 for k in (3, 2, 1)]
+    assert out == [[7, 3, 4, 5, *last], [8, 9]] * 2 + [[8, 9, 3, 4, 5, *last], [7]]
+    assert peak < 2e6  # a copy of the shared words takes over 20 MB
+
+
 def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 

@@ -42,7 +42,8 @@ SHARED = 1_500_000
 MEMORY = 2_000_000
 #: Words that one task folds of the shared ones.
 _FOLDS = 16_384
-_CHUNK = 1 << 18
+#: Bytes of text in a row between the passes, so that its arrays in the JVM and in Python stay small.
+_CHUNK = 1 << 17
 _NONE = 2147483647
 #: More than a word's places; beside a rank it makes a number of less than 64 bits.
 _PLACES = 1 << 20
@@ -176,7 +177,7 @@ def _distinct(path: str, memory: int):
     """The distinct words of a task, but those that only the heap can merge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n = Known(), 0
+        known, n = Known(np.zeros(0, np.uint64), np.zeros(0, np.int8)), 0
         for batch in batches:
             for _, _, data, offs in chunks(batch.column(0), _CHUNK):
                 starts, ends, hashes, _ = _words(data, offs, path)
@@ -238,7 +239,7 @@ def shared_words(docs: DataFrame, rank_file: str, table: Column, most: int = SHA
 def _split(path: str, shared, memory: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = shared.value
-        known = Known(keys, np.arange(len(keys)))
+        known = Known(keys, np.arange(len(keys), dtype=np.int32))
         n = len(keys)
         for batch in batches:
             for at, to, data, offs in chunks(batch.column(1), _CHUNK):
@@ -281,37 +282,52 @@ def _room(array: np.ndarray, n: int) -> np.ndarray:
 
 
 class _Store:
-    """Flat values by number, with their starts and lengths; slices of many numbers are gathered at once."""
+    """Flat values by number, with their starts and lengths; slices of many numbers are gathered at once.
 
-    def __init__(self, kind):
+    The first numbers may be given as (lengths, starts, values), which are read where they are and never copied."""
+
+    def __init__(self, kind, given: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+        self.given = given or tuple(np.zeros(0, np.int64) for _ in range(3))
         self.flat, self.starts, self.lengths = np.zeros(1 << 16, kind), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.n = self.used = 0
 
     def reset(self, n: int) -> None:
-        """Forget all but the first n."""
+        """Forget all but the first n, and never what was given."""
+        n -= len(self.given[0])
         if n < self.n:
             self.used = int(self.starts[n])  # numbers after the given ones lie in order
             self.n = n
 
-    def append(self, values: np.ndarray, lengths: np.ndarray, starts: np.ndarray | None = None) -> None:
-        """Values of the next numbers, one after the other if their starts are not given."""
+    def append(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        """Values of the next numbers, one after the other."""
         n = self.n + len(lengths)
         self.flat, self.starts, self.lengths = _room(self.flat, self.used + len(values)), _room(self.starts, n), _room(self.lengths, n)
         self.flat[self.used : self.used + len(values)] = values
         self.lengths[self.n : n] = lengths
-        self.starts[self.n : n] = self.used + (np.cumsum(lengths) - lengths if starts is None else starts)
+        self.starts[self.n : n] = self.used + (np.cumsum(lengths) - lengths)
         self.n, self.used = n, self.used + len(values)
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lengths = self.lengths[numbers].astype(np.int64)
+        first = len(self.given[0])
+        lengths, parts = np.zeros(len(numbers), np.int64), []
+        for places, less, (sizes, starts, flat) in ((np.flatnonzero(numbers < first), 0, self.given), (np.flatnonzero(numbers >= first), first, (self.lengths, self.starts, self.flat))):
+            own = numbers[places] - less
+            lengths[places] = sizes[own]
+            parts.append((places, starts[own].astype(np.int64), flat))
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        return self.flat[np.repeat(self.starts[numbers] - ends[:-1], lengths) + np.arange(ends[-1])], ends
+        out = np.zeros(ends[-1], self.flat.dtype)
+        for places, starts, flat in parts:
+            sizes = lengths[places]
+            before = np.cumsum(sizes) - sizes
+            step = np.arange(sizes.sum())
+            out[np.repeat(ends[places] - before, sizes) + step] = flat[np.repeat(starts - before, sizes) + step]
+        return out, ends
 
 
 @functools.lru_cache(maxsize=2)
 def _tokens(path: str) -> "_Store":
     """The tokens' binary pieces by id."""
-    ranks = load_ranks(path)
+    ranks = load_ranks.__wrapped__(path)  # not kept: workers live long, and few need the ranks
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token
@@ -322,9 +338,7 @@ def _tokens(path: str) -> "_Store":
 
 def _assemble(path: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tokens = _Store(np.uint32), _tokens(path)
-        counts, starts, flat = shared.value
-        ids.append(flat, counts, starts)
+        ids, tokens = _Store(np.uint32, shared.value), _tokens(path)
         for batch in batches:
             for row in range(batch.num_rows):
                 ids.reset(batch.column(3)[row].as_py())

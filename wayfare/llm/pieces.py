@@ -89,7 +89,7 @@ class Known:
 
     def clear(self) -> None:
         """Forget all but the table given at the start (its keys ascend)."""
-        self.tables = [self.start, (np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        self.tables = [self.start, (np.zeros(0, np.uint64), np.zeros(0, self.start[1].dtype))]
         self.cache = np.zeros(int(self.mask) + 1, np.uint64), np.full(int(self.mask) + 1, -1, np.int64)
 
     @staticmethod
@@ -123,7 +123,7 @@ class Known:
         """Add numbers of unknown, ascending hashes."""
         self.tables[1] = self._merged(self.tables[1], (hashes, values))
         if len(self.tables[1][0]) > (1 << 14) + len(self.tables[0][0]) // 8:
-            self.tables = [self._merged(*self.tables), (np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+            self.tables = [self._merged(*self.tables), (np.zeros(0, np.uint64), np.zeros(0, self.start[1].dtype))]
         self._keep(hashes, values)
 
 
