@@ -56,14 +56,19 @@ FROM f JOIN o b ON b.user_id = f.user_id AND b.r = greatest(f.inside - 1, 1)""",
 )
 def trailing_rate(spark, sf_dir):
     """Rate over a trailing window that keeps one sample older than it; null with too short a span or without progress."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    # null ids are last of their time; rows without a user or a time have no rate and, as null times are last too, no part in others' sums
+    ids = F.col("event_id").asc_nulls_last()
+    order = Window.partitionBy("user_id").orderBy("ts", ids)
     running_sum = F.sum(F.abs("value")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    c = events(spark, sf_dir).select("user_id", "event_id", F.unix_micros("ts").alias("t"), running_sum.alias("got"))
+    rows = events(spark, sf_dir).where("user_id IS NOT NULL AND ts IS NOT NULL")
+    c = rows.select("user_id", "event_id", F.unix_micros("ts").alias("t"), running_sum.alias("got"))
     # where each window begins is looked up as the last sample before it, in one running pass: a marker stands before the samples of its time
     samples = c.select("user_id", "event_id", F.col("t").alias("at"), F.lit(1).alias("kind"), "t", "got", F.struct("t", "got").alias("s"))
     markers = c.select("user_id", "event_id", (F.col("t") - RATE_WINDOW * 1_000_000).alias("at"), F.lit(0).alias("kind"), "t", "got", F.lit(None).cast("struct<t:bigint,got:double>").alias("s"))
-    upto = Window.partitionBy("user_id").orderBy("at", "kind", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    own = F.first("s", ignorenulls=True).over(Window.partitionBy("user_id").orderBy("at", "kind", "event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    # the sum never falls, so it keeps rows of one time and id in the order in which they were added up
+    again = Window.partitionBy("user_id").orderBy("at", "kind", ids, "got")
+    upto = again.rowsBetween(Window.unboundedPreceding, 0)
+    own = F.first("s", ignorenulls=True).over(again.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     looked = samples.unionByName(markers).select("user_id", "event_id", "kind", "t", "got", F.coalesce(F.last("s", ignorenulls=True).over(upto), own).alias("b")).where("kind = 0")
     span, gain = F.col("t") - F.col("b.t"), F.col("got") - F.col("b.got")
     return looked.select("user_id", "event_id", F.when((span >= RATE_SPAN * 1_000_000) & (gain > 0), F.round(gain / (span / 1e6), 9)).alias("rate"))
